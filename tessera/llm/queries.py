@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.packing import pack
 from tessera.llm.quality import outliers
 from tessera.llm.urls import judge
 
@@ -15,12 +16,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op8_url_filters)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_packing, op8_url_filters)}
 
 
 ORACLE: dict[str, str] = {}

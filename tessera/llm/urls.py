@@ -50,11 +50,13 @@ def links(pages: DataFrame) -> DataFrame:
     source = pages.where(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").isNotNull())
     tags = F.regexp_extract_all(F.regexp_replace("html", "(?s)<!--.*?-->|(?i:<script\\b.*?</script>)", " "), F.lit("(?is)<(?:link|meta)\\b[^>]*>"), F.lit(0))
     found = source.select("url", F.explode(tags).alias("tag"))
+    names = {"rel": "rel", "http-equiv": "equiv", "href": "href", "content": "content"}
     attribute = lambda name: F.regexp_extract("tag", rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 0)
     value = lambda name: F.regexp_replace(F.regexp_replace(attribute(name), rf"(?is)^\s{name}\s*=\s*", ""), "^[\"']|[\"']$", "")
-    canonical = F.col("tag").rlike("(?is)^<link") & F.lower(value("rel")).rlike("(^|\\s)canonical(\\s|$)")
-    refresh = F.col("tag").rlike("(?is)^<meta") & (F.lower(value("http-equiv")) == "refresh")
-    to = F.when(canonical, value("href")).when(refresh, F.regexp_extract(value("content"), "(?is)url\\s*=\\s*['\"]?([^'\"]*)", 1))
+    found = found.select("url", "tag", *(value(a).alias(b) for a, b in names.items()))
+    canonical = F.col("tag").rlike("(?is)^<link") & F.lower("rel").rlike("(^|\\s)canonical(\\s|$)")
+    refresh = F.col("tag").rlike("(?is)^<meta") & (F.lower("equiv") == "refresh")
+    to = F.when(canonical, F.col("href")).when(refresh, F.regexp_extract("content", "(?is)url\\s*=\\s*['\"]?([^'\"]*)", 1))
     to = F.replace(F.trim(to), F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract("url", "^([^:/?#]*:)//", 1)
     found = with_parts(found.where(canonical | refresh).select("url", scheme.alias("scheme"), to.alias("to")).where(F.length("to") > 0))
