@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.packing import pack
 from tessera.llm.quality import outliers
+from tessera.llm.substrings import digest
 from tessera.llm.urls import judge
 
 
@@ -26,8 +27,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op7_packing, op8_url_filters)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_packing, op8_url_filters, op10_substring_dedup)}
 
 
 ORACLE: dict[str, str] = {}
