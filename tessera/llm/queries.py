@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.ngram_join import classes
 from tessera.llm.packing import pack
 from tessera.llm.quality import outliers
 from tessera.llm.substrings import digest
@@ -27,12 +28,16 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op7_packing, op8_url_filters, op10_substring_dedup)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_packing, op8_url_filters, op9_ngram_join, op10_substring_dedup)}
 
 
 ORACLE: dict[str, str] = {}
