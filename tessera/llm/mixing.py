@@ -32,8 +32,6 @@ def exponent(sources: DataFrame, budget: float, entropy: float = ENTROPY, repeat
     If that would repeat a source more than repeats times, a is raised until it doesn't. Both fall with a, so a
     search on the grid finds them; each round evaluates WAYS exponents in one aggregation of the sources, which need not fit the driver.
     """
-    log_share = F.log(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    del log_share
     total, least, n = sources.agg(F.sum("tokens"), F.min("tokens"), F.count("*")).first()
     if not n or n == 1:
         return 1.0
@@ -72,20 +70,31 @@ def exponent(sources: DataFrame, budget: float, entropy: float = ENTROPY, repeat
     return min(GRID, max(flat, often)) / GRID
 
 
-def plan(spark: SparkSession, docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, sources): each row's copies, and each source's weight.
+def _digit(level: int) -> Column:
+    return F.shiftrightunsigned("hash", 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1))
 
-    documents: source, doc_id, tokens, hash, copies and the block of each, for every row of docs (doc_id, text,
-    source). sources: source, tokens, weight, budget, epochs. budget is the number of tokens of the mixture, by
-    default that of docs. A source's share of it is whole epochs, in each of which all its documents come
-    once, and a part of one more: blocks of documents in a permuted order, cut in the last block by the documents' hashes. A
-    null source is a source of its own. Documents without words count as no tokens and come in every epoch, also
-    in one that is cut: they stay at least once. Sources without tokens are kept as they are. Rows that are equal in doc_id and tokens share their fate.
+
+def _key(level: int) -> Column:
+    """The permuted place of a block in its source's last epoch."""
+    return F.xxhash64(F.lit(SEED + 1 + level), "source", _digit(level))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns), doc_id, source, tokens, hash."""
+    known = docs.select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.col("source"), F.lit("\0")).alias("source"), tokens(F.col("text")).alias("tokens"))
+    return known.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "source", "tokens"))
+
+
+def plan(spark: SparkSession, docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> DataFrame:
+    """One row for each source with tokens: source, tokens, weight, budget, epochs, and where its last epoch ends.
+
+    docs needs doc_id, text and source. budget is the number of tokens of the mixture, by default that of docs. A
+    source's part of it is whole epochs, in each of which all its documents come once, and a part of one more: blocks of
+    documents in a permuted order, cut in the last block by the documents' hashes. A null source is a source of
+    its own. An empty table gives an empty plan.
     """
     scratch = Scratch(spark)
-    name = F.coalesce(F.col("source"), F.lit("\0"))
-    known = docs.select("doc_id", name.alias("source"), tokens(F.col("text")).alias("tokens"))
-    hashed = scratch.write(known.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "source", "tokens")))
+    hashed = scratch.write(_keyed(docs.select("doc_id", "text", "source")).drop("row"))
     sources = scratch.write(hashed.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     budget = float(total) if budget is None else float(budget)
@@ -97,60 +106,55 @@ def plan(spark: SparkSession, docs: DataFrame, entropy: float = ENTROPY, repeats
     sources = scratch.write(sources.select("*", F.floor(F.col("budget") / F.col("tokens")).alias("epochs"), (F.col("budget") % F.col("tokens")).alias("left")))
 
     # The block in which the last epoch ends, level by level. A level sums at most 2^BITS blocks of each source.
-    def digit(level: int) -> Column:
-        return F.shiftrightunsigned("hash", 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1))
-
-    def key(level: int) -> Column:
-        """The permuted place of a block in its source's last epoch."""
-        return F.xxhash64(F.lit(SEED + 1 + level), "source", digit(level))
-
     ends = sources.select("source", "left")
     rows = hashed.where("tokens > 0").join(ends.select("source"), "source")
     cuts: list[DataFrame] = []
     for level in range(LEVELS):
-        sums = rows.groupBy("source", key(level).alias("k")).agg(F.sum("tokens").alias("t"))
+        sums = rows.groupBy("source", _key(level).alias("k")).agg(F.sum("tokens").alias("t"))
         upto = F.sum("t").over(Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
         placed = sums.withColumn("before", F.coalesce(upto, F.lit(0))).join(ends, "source").where("before <= left")
         cut = placed.groupBy("source").agg(F.max(F.struct("k", "before")).alias("c"))
         cut = scratch.write(cut.select("source", F.col("c.k").alias(f"cut{level}"), F.col("c.before").alias("before")))
         cuts.append(cut.select("source", f"cut{level}"))
         ends = scratch.write(ends.join(cut, "source").select("source", (F.col("left") - F.col("before")).alias("left")))
-        rows = rows.join(cuts[-1], "source").where(key(level) == F.col(f"cut{level}")).drop(f"cut{level}")
+        rows = rows.join(cuts[-1], "source").where(_key(level) == F.col(f"cut{level}")).drop(f"cut{level}")
     # In the last block documents follow their hashes; as many come as fit.
     order = Window.partitionBy("source").orderBy("hash", "doc_id")
     fits = rows.groupBy("source", "hash", "doc_id").agg(F.sum("tokens").alias("t")).withColumn("upto", F.sum("t").over(order)).join(ends, "source").where("upto <= left")
     last = scratch.write(fits.groupBy("source").agg(F.max(F.struct("hash", "doc_id")).alias("last")))
 
-    marked = sources.select("source", "epochs")
     for cut in [*cuts, last]:
-        marked = marked.join(cut, "source", "left")
-    marked = scratch.write(marked)
-    dealt = hashed.join(marked, "source", "left")
+        sources = sources.join(cut, "source", "left")
+    return scratch.write(sources.drop("left"))
+
+
+def with_copies(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """keyed with the number of times that each row comes.
+
+    Documents without words cost no tokens and come in every whole epoch, once at least; sources without tokens come once. Rows
+    that are equal in doc_id, source and tokens share their fate. The plan has a row for each source: Spark broadcasts it
+    if it is small, and the texts are then not shuffled.
+    """
+    ends = ["epochs", *(f"cut{level}" for level in range(LEVELS)), "last"]
     inside = F.struct("hash", "doc_id") <= F.col("last")
     for level in reversed(range(LEVELS)):
-        inside = (key(level) < F.col(f"cut{level}")) | ((key(level) == F.col(f"cut{level}")) & F.coalesce(inside, F.lit(False)))
-    extra = F.when(F.col("tokens") == 0, 0).otherwise(F.coalesce(inside, F.lit(False)).cast("int"))
-    copies = F.when(F.col("epochs").isNull(), 1).when(F.col("tokens") == 0, F.greatest("epochs", F.lit(1))).otherwise(F.col("epochs") + extra)
-    documents = dealt.select("doc_id", F.when(F.col("source") != "\0", F.col("source")).alias("source"), "tokens", "hash", copies.cast("int").alias("copies"))
-    return documents, sources.drop("left")
+        inside = (_key(level) < F.col(f"cut{level}")) | ((_key(level) == F.col(f"cut{level}")) & F.coalesce(inside, F.lit(False)))
+    copies = F.when(F.col("epochs").isNull(), 1).when(F.col("tokens") == 0, F.greatest("epochs", F.lit(1))).otherwise(F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("int"))
+    return keyed.join(plan.select("source", *ends), "source", "left").withColumn("copies", copies.cast("int")).drop(*ends)
 
 
 def schedule(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """One row for each time a document comes: doc_id, source, tokens, epoch, block, place.
 
-    Reading in the order of epoch, block and place visits each source's blocks in an order that differs between epochs.
+    Reading in the order of epoch, block and place visits the blocks in an order that differs between epochs.
     """
-    documents, _ = plan(spark, docs, **how)
-    each = documents.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    dealt = with_copies(_keyed(docs.select("doc_id", "text", "source")).drop("row"), plan(spark, docs, **how))
+    each = dealt.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     block = F.xxhash64(F.lit(SEED), "epoch", F.shiftrightunsigned("hash", 64 - BITS))
-    return each.select("doc_id", "source", "tokens", "epoch", block.alias("block"), F.xxhash64(F.lit(SEED), "epoch", "hash").alias("place"))
+    return each.select("doc_id", F.when(F.col("source") != "\0", F.col("source")).alias("source"), "tokens", "epoch", block.alias("block"), F.xxhash64(F.lit(SEED), "epoch", "hash").alias("place"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mixture has it, all columns kept. The texts are read twice and not shuffled by source."""
-    documents, _ = plan(spark, docs, **how)
-    often = documents.select("doc_id", F.coalesce("source", F.lit("\0")).alias("_source"), F.col("tokens").alias("_tokens"), "copies").distinct()
-    keyed = docs.withColumns({"_source": F.coalesce(F.col("source"), F.lit("\0")), "_tokens": tokens(F.col("text"))})
-    same = keyed["doc_id"].eqNullSafe(often["doc_id"]) & (keyed["_source"] == often["_source"]) & (keyed["_tokens"] == often["_tokens"])
-    joined = keyed.join(often, same).where("copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*(keyed[c] for c in docs.columns))
+    """docs with each row as often as the mixture has it, all columns kept."""
+    dealt = with_copies(_keyed(docs), plan(spark, docs, **how)).where("copies > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
