@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.html import extract
 from tessera.llm.language import languages
 from tessera.llm.mixing import schedule
 from tessera.llm.ngram_join import classes
@@ -39,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_topk_maxscore, op2_mixing, op3_toxicity, op4_language_id, op5_quality_rules, op7_packing, op8_url_filters, op9_ngram_join, op10_substring_dedup)
+    each = (op1_topk_maxscore, op2_mixing, op3_toxicity, op4_language_id, op5_quality_rules, op6_html_extraction, op7_packing, op8_url_filters, op9_ngram_join, op10_substring_dedup)
     return {f.__name__: f for f in each}
 
 
