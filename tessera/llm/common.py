@@ -32,10 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: batches that go to Python are bounded by rows and bytes that two workers beside a heap can hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs the tasks it ran, not the whole history."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.top = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.made = 0
 

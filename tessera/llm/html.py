@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -373,6 +375,7 @@ def extract(spark: SparkSession, pages: DataFrame, field: Field | None = None) -
     on the driver and goes with the tasks.
     """
     field = field or default_field()
+    small_batches(spark)
 
     @F.pandas_udf("string")
     def text(html_: pd.Series) -> pd.Series:

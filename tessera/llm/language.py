@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import small_batches
+
 #: The bounds of a language's dictionary: documents, the first ones by a hash, characters of each, bytes in all.
 DOCS, CHARS, BYTES = 96, 4_000, 112_640
 #: Greedy matches of 4 bytes or more: short ones tell languages apart.
@@ -84,5 +86,6 @@ def languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out of the fit; a null doc_id is not held out. An empty table gives an empty result.
     """
     parts = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
+    small_batches(spark)
     model = fit(parts.where(~F.col("held_out")))
     return predict(parts.select("doc_id", "held_out", "text"), model).drop("text")
