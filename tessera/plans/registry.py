@@ -2,10 +2,693 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import signals as S
+from tessera.functions import text as T
+from tessera.operators import evaluation as E
+from tessera.operators import parsing as P
+from tessera.operators import ranking as R
+from tessera.operators import retrieval as B
+from tessera.operators import synthesis as Y
+from tessera.plans import base as X
+from tessera.plans.base import COMMON, fold_sql, haversine_sql, literal, open_sql, toks_sql, values
+from tessera.sources import vocabulary as V
+from tessera.sources.places import cache_key, display_words, missing, optional, places, split_list, table
+
+REG = X.Registry()
+add = REG.add
+
+
+def small(spark: SparkSession, rows, ddl: str) -> DataFrame:
+    return spark.createDataFrame(rows, ddl)
+
+
+# Text.
+
+WORDS = [(i, w) for i, w in enumerate(["wifi", "wifl", "wjfi", "tihn", "tinh", "bane", "caf", "phe", "khong", "khogn", "standrad", "standar", "quan", "uqan", "lang", "promoo", "econmy", "abdc"])]
+RAW = [(1, " a; b ;;  c ", "4.7", "x"), (2, None, None, "  "), (3, "", "-2.9", None), (4, ";", "12", " y "), (5, "wifi", "abc", "z")]
+POINTS = [(1, "10.7738, 106.7012 cay xang"), (2, "106.7012 10.7738"), (3, "gan 21.03 105.85 va 16.0 108.2"), (4, "5.0 106.7, 10.5 106.2"), (5, "10.5;106.2"), (6, "không có"), (7, None), (8, "-10.5 106.2 1.5")]
+SEQS = [(1, "quan 1 tp hcm", "quan 1"), (2, "quan 12 tp hcm", "quan 1"), (3, "ca phe", ""), (4, "", "a"), (5, "a b a c", "a c"), (6, "abc", "b")]
+
+
+@add(f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents", common=False)
+def fold_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@add(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {toks_sql('text')} AS t FROM documents)", common=False)
+def tokenize_documents(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
+EXPANDED = [("cf q1 co wifi", "ca phe quan 1 co wifi"), ("gas station 24/7", "tram xang 24/7"), ("quan cf sai gon", "quan ca phe tp hcm"), ("q123 q12 hn", "q123 quan 12 ha noi"), ("", ""), ("Khách sạn ĐN bv", "khach san dn bv")]
+
+
+@add(values([(i, t, {"Khách sạn ĐN bv": "khach san da nang benh vien"}.get(t, x)) for i, (t, x) in enumerate(EXPANDED)], "id long, text string, expanded string"), common=False)
+def expand_abbrev(spark, sf):
+    q = small(spark, [(i, t) for i, (t, _) in enumerate(EXPANDED)], "id long, text string")
+    return q.select("id", "text", F.array_join(T.expand(T.tokens(F.col("text"))), " ").alias("expanded"))
+
+
+@add("SELECT doc_id, strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D')) AS plain FROM documents", common=False)
+def strip_diacritics(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.strip_diacritics(F.col("text")).alias("plain"))
+
+
+@add("SELECT doc_id, text <> strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D')) AS marked FROM documents", common=False)
+def has_diacritics_gate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.has_diacritics(F.col("text")).alias("marked"))
+
+
+@add(f", w AS ({values(WORDS, 'id int, term string')}) SELECT w.term, dq.term AS other FROM w JOIN dq ON length(w.term) >= 4 AND length(dq.term) >= 4 AND damerau_levenshtein(w.term, dq.term) <= 1")
+def osa_edit1_pairs(spark, sf):
+    side = lambda df, n: df.select(F.col("term").alias(n), F.explode(T.deletions(F.col("term"))).alias("v")).where(F.length(n) >= 4)
+    w, lex = small(spark, WORDS, "id int, term string"), X.index(spark, sf).df
+    return side(w, "term").join(side(lex, "other"), "v").select("term", "other").distinct().where(T.edit1(F.col("term"), F.col("other")))
+
+
+CANON = f""", w AS ({values(WORDS, 'id int, term string')}), u AS (SELECT DISTINCT term FROM w WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM dq)),
+  c AS (SELECT u.term, dq.term AS other, CASE WHEN length(u.term) = length(dq.term) AND levenshtein(u.term, dq.term) = 2 THEN 0 ELSE 1 END AS tier FROM u JOIN dq ON length(dq.term) >= 4 AND damerau_levenshtein(u.term, dq.term) <= 1),
+  b AS (SELECT *, min(tier) OVER (PARTITION BY term) AS best FROM c), canon AS (SELECT term, min(other) AS canonical FROM b WHERE tier = best GROUP BY term HAVING count(*) = 1)"""
+
+
+@add(CANON + " SELECT * FROM canon")
+def canonicalize_tokens(spark, sf):
+    return B.canonical(small(spark, WORDS, "id int, term string"), X.index(spark, sf).df)
+
+
+@add(f"WITH s AS ({values(SEQS, 'id long, hay string, key string')}) SELECT CAST(id AS BIGINT) AS id, key <> '' AND contains(' ' || hay || ' ', ' ' || key || ' ') AS hit FROM s", common=False)
+def token_seq_contains(spark, sf):
+    return small(spark, SEQS, "id long, hay string, key string").select("id", T.contains_seq(T.tokens(F.col("hay")), F.col("key")).alias("hit"))
+
+
+@add(values([(1, 10.7738, 106.7012), (2, 10.7738, 106.7012), (3, 21.03, 105.85), (4, 10.5, 106.7), (5, None, None), (6, None, None), (7, None, None), (8, None, None)], "id long, lat double, lon double"), common=False)
+def coord_detect(spark, sf):
+    p = small(spark, POINTS, "id long, text string").select("id", T.coordinates(F.col("text")).alias("p"))
+    return p.select("id", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
+
+
+@add(f"WITH r AS ({values(RAW, 'id long, parts string, num string, opt string')}) SELECT CAST(id AS BIGINT) AS id, array_to_string({X.list_sql('parts')}, '|') AS parts, CAST(len({X.list_sql('parts')}) AS BIGINT) AS n FROM r", common=False)
+def split_clean(spark, sf):
+    p = split_list(F.col("parts"))
+    return small(spark, RAW, "id long, parts string, num string, opt string").select("id", F.array_join(p, "|").alias("parts"), F.size(p).alias("n"))
+
+
+@add(f"WITH r AS ({values(RAW, 'id long, parts string, num string, opt string')}) SELECT CAST(id AS BIGINT) AS id, CAST(trunc(TRY_CAST(num AS DOUBLE)) AS BIGINT) AS num, nullif(trim(opt), '') AS opt FROM r", common=False)
+def opt_casts(spark, sf):
+    r = small(spark, RAW, "id long, parts string, num string, opt string")
+    return r.select("id", F.expr("try_cast(num AS double)").cast("int").alias("num"), optional(F.col("opt")).alias("opt"))
+
+
+# Documents and statistics.
+
+
+@add(" SELECT pos, poi_id, CAST(len(toks) AS BIGINT) AS n, md5(array_to_string(list_sort(toks), ' ')) AS digest FROM lex")
+def lexical_doc(spark, sf):
+    return X.docs_df(spark, sf).select("pos", "poi_id", F.size("toks").alias("n"), F.md5(F.array_join(F.sort_array("toks"), " ").cast("binary")).alias("digest"))
+
+
+@add(" SELECT pos, name || '. ' || coalesce(brand, '') || '. ' || category || ' / ' || coalesce(sub_category, '') || '. ' || district || ', ' || city || '. Đặc điểm: ' || replace(attributes, ';', ', ') || '. ' || replace(tags, ';', ', ') || '. ' || description AS doc_text FROM poi")
+def doc_text(spark, sf):
+    return places(spark, sf).select("pos", B.doc_text().alias("doc_text"))
+
+
+@add(f" SELECT pos, array_to_string(list_sort(list_distinct({toks_sql(chr(99) + 'oncat_ws(' + repr(' ') + ', name, brand)')})), ' ') AS toks FROM poi")
+def content_tokens(spark, sf):
+    return places(spark, sf).select("pos", F.array_join(F.sort_array(B.content_tokens()), " ").alias("toks"))
+
+
+@add(" SELECT term, df FROM dq")
+def doc_freq(spark, sf):
+    return X.index(spark, sf).df
+
+
+@add(" SELECT DISTINCT term FROM tf")
+def lexicon(spark, sf):
+    return X.index(spark, sf).df.select("term")
+
+
+@add(" SELECT term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl FROM idf, st")
+def bm25_stats(spark, sf):
+    i = X.index(spark, sf)
+    return i.idf.crossJoin(F.broadcast(i.totals))
+
+
+@add(" SELECT query_id, pos, round(score, 6) AS score FROM bms")
+def bm25_scores(spark, sf):
+    return X.index(spark, sf).scores(X.queries_df(spark))
+
+
+@add(" SELECT query_id, pos, round(score, 6) AS score, rank FROM bmr WHERE rank <= 20")
+def bm25_rank(spark, sf):
+    return X.index(spark, sf).top(X.queries_df(spark), 20)
+
+
+@add(f""", d AS (SELECT query_id, list_filter(toks, lambda t: t NOT IN ('quan', '1')) AS kept, toks FROM qt), k2 AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE toks END) AS term FROM d) GROUP BY query_id, term)
+  SELECT query_id, tf.pos, round(sum(times * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM k2 JOIN idf USING (term) JOIN tf USING (term) JOIN dl ON dl.pos = tf.pos CROSS JOIN st GROUP BY query_id, tf.pos""")
+def bm25_drop(spark, sf):
+    q = X.queries_df(spark).withColumn("toks", B.drop_tokens(F.col("toks"), F.array(F.lit("quan"), F.lit("1"))))
+    return X.index(spark, sf).scores(q)
+
+
+OOV = [("T1", "wjfi khogn"), ("T2", "standrad rong"), ("T3", "ghi wifi ecnomy"), ("T4", "")]
+
+
+@add(f""", w AS (SELECT query_id, unnest({toks_sql('text')}) AS term, generate_subscripts({toks_sql('text')}, 1) AS at FROM ({values(OOV, 'query_id string, text string')})),
+  u AS (SELECT DISTINCT term FROM w WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM dq)),
+  c AS (SELECT u.term, dq.term AS other, CASE WHEN length(u.term) = length(dq.term) AND levenshtein(u.term, dq.term) = 2 THEN 0 ELSE 1 END AS tier FROM u JOIN dq ON length(dq.term) >= 4 AND damerau_levenshtein(u.term, dq.term) <= 1),
+  b AS (SELECT *, min(tier) OVER (PARTITION BY term) AS best FROM c), canon AS (SELECT term, min(other) AS canonical FROM b WHERE tier = best GROUP BY term HAVING count(*) = 1)
+  SELECT query_id, string_agg(coalesce(canonical, w.term), ' ' ORDER BY at) AS toks FROM w LEFT JOIN canon USING (term) GROUP BY query_id UNION ALL SELECT 'T4', ''""")
+def bm25_oov(spark, sf):
+    q = small(spark, OOV, "query_id string, text string").withColumn("toks", T.tokens(F.col("text")))
+    return B.correct(q, X.index(spark, sf).df).select("query_id", F.array_join("toks", " ").alias("toks"))
+
+
+# Dense retrieval and fusion.
+
+
+@add(" SELECT query_id, pos, round(score, 6) AS cosine FROM dnr")
+def dense_cosine(spark, sf):
+    return X.dense(spark, sf).select("query_id", "pos", F.col("score").alias("cosine"))
+
+
+@add(" SELECT query_id, pos, rank FROM dnr WHERE rank <= 10")
+def dense_topk(spark, sf):
+    return X.dense(spark, sf).where("rank <= 10").select("query_id", "pos", "rank")
+
+
+@add("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, round(list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))), 6) AS greatest FROM embeddings", common=False)
+def l2_normalize(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("dim"), F.array_max(B.normalized(F.col("embedding"))).alias("greatest"))
+
+
+@add(" SELECT query_id, pos, round(rrf, 6) AS rrf FROM rrf")
+def rrf_fuse(spark, sf):
+    return X.fused(spark, sf).select("query_id", "pos", "rrf")
+
+
+@add(" SELECT query_id, pos, round(relevance, 6) AS relevance FROM rrf")
+def hybrid_relevance(spark, sf):
+    return X.fused(spark, sf).select("query_id", "pos", "relevance")
+
+
+@add(" SELECT query_id, pos, round(least(1.0e0, (1.0e0 / (60 + rank)) / (1 / 61.0e0)), 6) AS relevance FROM bmr")
+def relevance_bm25_only(spark, sf):
+    return B.fuse([X.lexical(spark, sf)]).select("query_id", "pos", "relevance")
+
+
+# Scalars and signals.
+
+
+@add(f" SELECT pos, round({haversine_sql('lat', 'lon', '21.0287e0', '105.8524e0')}, 6) AS km FROM poi")
+def haversine(spark, sf):
+    return places(spark, sf).select("pos", S.haversine(F.col("lat"), F.col("lon"), F.lit(21.0287), F.lit(105.8524)).alias("km"))
+
+
+@add(f" SELECT pos, round(greatest(0.0e0, least(1.0e0, pow(2.718281828e0, -{haversine_sql('lat', 'lon', '10.7723e0', '106.698e0')} / 3.0e0))), 6) AS decay FROM poi")
+def distance_decay(spark, sf):
+    return places(spark, sf).select("pos", S.distance(S.haversine(F.col("lat"), F.col("lon"), F.lit(10.7723), F.lit(106.698))).alias("decay"))
+
+
+for _signal in S.WEIGHTS:
+
+    def _one(spark, sf, k=_signal):
+        return X.signals(spark, sf).select("query_id", "pos", F.col(f"sig_{k}").alias("signal"))
+
+    add(f" SELECT query_id, pos, round(sig_{_signal}, 6) AS signal FROM sig", name=f"sig_{_signal}")(_one)
+
+
+@add(f" SELECT pos, {open_sql('720')} AS noon, {open_sql('120')} AS night FROM poi")
+def open_intervals(spark, sf):
+    return places(spark, sf).select("pos", S.is_open(F.col("opening_hours"), F.lit(720)).alias("noon"), S.is_open(F.col("opening_hours"), F.lit(120)).alias("night"))
+
+
+@add(" SELECT query_id, pos, round(score, 6) AS score FROM scored")
+def linear_score(spark, sf):
+    return X.scored(spark, sf).select("query_id", "pos", "score")
+
+
+@add(f" SELECT query_id, pos, round({X.score_sql(S.WEIGHTS)}, 6) AS score FROM sig")
+def default_weights_score(spark, sf):
+    return X.scored(spark, sf, S.WEIGHTS).select("query_id", "pos", "score")
+
+
+@add(" SELECT query_id, pos, poi_id, rank, round(score, 6) AS score, level, near FROM (SELECT *, CAST(level AS BIGINT) AS level2 FROM final) WHERE rank <= 10".replace(" level,", " level2 AS level,"))
+def full_rank(spark, sf):
+    return X.final(spark, sf).where("rank <= 10").select("query_id", "pos", "poi_id", "rank", "score", "level", "near")
+
+
+# Filters, gates, windows.
+
+
+@add(" SELECT query_id, pos FROM flags WHERE f1")
+def location_filter(spark, sf):
+    q = X.intents_df(spark)
+    ok = F.coalesce(F.col("city") == F.col("want_city"), F.lit(True)) & F.coalesce(F.col("district") == F.col("want_district"), F.lit(True))
+    return places(spark, sf).select("pos", "city", "district").crossJoin(F.broadcast(q.select("query_id", "want_city", "want_district"))).where(ok).select("query_id", "pos")
+
+
+@add(" SELECT query_id, pos FROM flags WHERE len(list_filter(tm, lambda t: NOT list_contains(ct, t))) = 0 AND len(tm) > 0")
+def subject_filter(spark, sf):
+    q = X.intents_df(spark).select("query_id", "terms").where(F.size("terms") > 0)
+    return places(spark, sf).select("pos", B.content_tokens().alias("ctoks")).crossJoin(F.broadcast(q)).where(F.size(F.array_except("terms", "ctoks")) == 0).select("query_id", "pos")
+
+
+@add(" SELECT query_id, pos FROM flags WHERE want_category = category AND NOT residual_left")
+def category_filter(spark, sf):
+    q = X.intents_df(spark).where(~F.col("residual_left")).select("query_id", F.col("want_category").alias("category"))
+    return places(spark, sf).join(F.broadcast(q), "category").select("query_id", "pos")
+
+
+@add(" SELECT query_id, CAST(max(level) AS BIGINT) AS level, count(*) AS n FROM kept GROUP BY query_id")
+def relaxation(spark, sf):
+    return X.kept(spark, sf).groupBy("query_id").agg(F.max("level").alias("level"), F.count("*").alias("n"))
+
+
+@add(" SELECT query_id, subject_ok FROM cor")
+def corroboration(spark, sf):
+    return R.corroborated(X.intents_df(spark).select("query_id", "terms"), X.dense(spark, sf), places(spark, sf).withColumn("ctoks", B.content_tokens()))
+
+
+@add(" SELECT query_id, count(*) FILTER (near) AS near, count(*) AS n FROM heads GROUP BY query_id")
+def anchor_gate(spark, sf):
+    return X.final(spark, sf).groupBy("query_id").agg(F.count_if("near").alias("near"), F.count("*").alias("n"))
+
+
+@add(" SELECT query_id, pos, rank, round(km, 6) AS km FROM final WHERE nearest AND rank <= 20")
+def anchor_nearest(spark, sf):
+    return X.final(spark, sf).where("nearest AND rank <= 20").select("query_id", "pos", "rank", "km")
+
+
+@add(" SELECT pos FROM poi WHERE lon BETWEEN 105.8e0 AND 106.7e0 AND lat BETWEEN 10.75e0 AND 21.0e0")
+def window_bbox(spark, sf):
+    return places(spark, sf).where(R.in_window(bbox=R.parse_bbox("105.8,10.75,106.7,21.0"))).select("pos")
+
+
+@add(f" SELECT pos FROM poi WHERE category = 'ATM' AND {haversine_sql('21.0287e0', '105.8524e0', 'lat', 'lon')} * 1000 <= 9000")
+def window_radius(spark, sf):
+    return places(spark, sf).where(R.in_window(category="ATM", lat=21.0287, lon=105.8524, meters=9000)).select("pos")
+
+
+WINDOW = "category = 'ATM' AND lat BETWEEN 20.0e0 AND 22.0e0 AND lon BETWEEN 105.0e0 AND 106.5e0"
+
+
+@add(f""", f AS (SELECT query_id, pos, score, rank, 'search' AS source FROM final WHERE {WINDOW}), miss AS (SELECT DISTINCT query_id FROM final WHERE query_id NOT IN (SELECT query_id FROM f)),
+  s AS (SELECT query_id, pos, 0.0e0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY round({haversine_sql('21.0e0', '105.8e0', 'lat', 'lon')}, 9), popularity DESC, pos) AS rank, 'fallback' AS source FROM miss CROSS JOIN poi WHERE {WINDOW}),
+  u AS (SELECT * FROM f UNION ALL SELECT * FROM s), v AS (SELECT query_id, pos, round(score, 6) AS score, source, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM u) SELECT * FROM v WHERE rank <= 5""")
+def fallback_order(spark, sf):
+    w = R.in_window(bbox=(105.0, 20.0, 106.5, 22.0), category="ATM")
+    return R.with_fallback(X.final(spark, sf), places(spark, sf), w, 21.0, 105.8, 5).select("query_id", "pos", "score", "source", "rank")
+
+
+@add(" SELECT query_id, pos, 0.0e0 AS score, rank FROM bmr WHERE rank <= 10")
+def keyword_lane(spark, sf):
+    return X.index(spark, sf).top(X.queries_df(spark), 10).select("query_id", "pos", F.lit(0.0).alias("score"), "rank")
+
+
+@add(" SELECT query_id, pos, k.rank AS rank_keyword, s.rank AS rank_semantic, k.rank - s.rank AS delta FROM (SELECT * FROM bmr WHERE rank <= 10) k FULL JOIN (SELECT query_id, pos, rank FROM final WHERE rank <= 10) s USING (query_id, pos)")
+def lane_rank_delta(spark, sf):
+    k = X.index(spark, sf).top(X.queries_df(spark), 10).select("query_id", "pos", F.col("rank").alias("rank_keyword"))
+    s = X.final(spark, sf).where("rank <= 10").select("query_id", "pos", F.col("rank").alias("rank_semantic"))
+    return k.join(s, ["query_id", "pos"], "full").withColumn("delta", F.col("rank_keyword") - F.col("rank_semantic"))
+
+
+# Parsing.
+
+
+def phrase_sql(kind_table: dict, kind: str) -> str:
+    return values([(kind, i, T.py_fold(k), T.compatible_pattern(k), v) for i, k, v in V.keys(kind_table)], "kind string, ord int, key string, pattern string, value string")
+
+
+HAY = f""", hy AS (SELECT query_id, text, ' ' || array_to_string(toks, ' ') || ' ' AS hay, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}/]+', ' ', 'g')) || ' ' AS shown FROM qt)"""
+
+
+def hits_sql(table_: dict, kind: str) -> str:
+    return HAY + f", ph AS ({phrase_sql(table_, kind)}), hits AS (SELECT query_id, ord, key, value FROM hy JOIN ph ON contains(hay, ' ' || key || ' ') AND regexp_matches(shown, pattern))"
+
+
+def plain_hits(spark, kind: str) -> DataFrame:
+    """Matches without abbreviations and typos, so that SQL can say them too."""
+    q = X.queries_df(spark).withColumn("hay", T.padded(F.col("toks")))
+    return q.join(F.broadcast(P.phrases(spark).where(F.col("kind") == kind)), P.matches(F.col("hay"), F.col("text"), F.col("key"), F.col("pattern"))).select("query_id", "ord", "key", "value")
+
+
+def best_hit(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("query_id").agg(F.min_by("value", F.struct((-F.length("key")).alias("l"), "ord")).alias("value"))
+
+
+for _kind, _table in (("category", V.CATEGORIES), ("need", V.NEEDS)):
+
+    def _best(spark, sf, k=_kind):
+        return best_hit(plain_hits(spark, k))
+
+    add(hits_sql(_table, _kind) + " SELECT query_id, value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(key) DESC, ord) AS r FROM hits) WHERE r = 1", name=f"keyword_{_kind}")(_best)
+
+
+@add(hits_sql(V.ATTRIBUTES, "attribute") + " SELECT query_id, array_to_string(list_sort(list_distinct(list(value))), ';') AS attrs FROM hits GROUP BY query_id")
+def keyword_attrs(spark, sf):
+    return plain_hits(spark, "attribute").groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("value")), ";").alias("attrs"))
+
+
+@add(hits_sql(V.PRICES, "price") + " SELECT query_id, CASE WHEN bool_or(value = 'cheap') THEN 'cheap' ELSE 'expensive' END AS price_pref FROM hits GROUP BY query_id")
+def price_pref(spark, sf):
+    return plain_hits(spark, "price").groupBy("query_id").agg(F.when(F.max(F.col("value") == "cheap"), "cheap").otherwise("expensive").alias("price_pref"))
+
+
+@add(""", g AS (SELECT pos, lat, lon, district AS name, 0 AS o FROM poi UNION ALL SELECT pos, lat, lon, district || ', ' || city, 1 FROM poi)
+  SELECT """ + fold_sql("name") + """ AS key, arg_min(name, pos * 2 + o) AS name, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM g GROUP BY 1""")
+def district_centroids(spark, sf):
+    return P.districts(places(spark, sf)).select("key", "name", "lat", "lon")
+
+
+@add(HAY + f""", lm AS ({values([(i, n, T.compatible_pattern(n), lat, lon) for i, (n, lat, lon) in enumerate(V.LANDMARKS)], 'ord int, name string, pattern string, lat double, lon double')}),
+  g AS (SELECT pos, lat, lon, district AS name, 0 AS o FROM poi UNION ALL SELECT pos, lat, lon, district || ', ' || city, 1 FROM poi), ds AS (SELECT {fold_sql('name')} AS key, min(pos * 2 + o) AS ord, arg_min(name, pos * 2 + o) AS name, avg(lat) AS lat, avg(lon) AS lon FROM g GROUP BY 1),
+  tiers AS (SELECT query_id, 0 AS tier, ord, name, lat, lon FROM hy JOIN lm ON regexp_matches(shown, pattern) UNION ALL SELECT query_id, 1, ord, name, lat, lon FROM hy JOIN ds ON contains(hay, ' ' || key || ' '))
+  SELECT query_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, ord) AS r FROM tiers) WHERE r = 1""")
+def gazetteer_resolve(spark, sf):
+    q = X.queries_df(spark).withColumn("hay", T.padded(F.col("toks")))
+    m = q.join(F.broadcast(P.landmarks(spark)), F.rlike(T.display(F.col("text")), F.col("pattern"))).groupBy("query_id").agg(F.min_by(F.struct("name", "lat", "lon"), "ord").alias("m"))
+    d = q.join(F.broadcast(P.districts(places(spark, sf))), F.contains("hay", F.concat(F.lit(" "), "key", F.lit(" ")))).groupBy("query_id").agg(F.min_by(F.struct("name", "lat", "lon"), "ord").alias("d"))
+    return q.select("query_id").join(m, "query_id", "left").join(d, "query_id", "left").select("query_id", F.coalesce("m", "d").alias("a")).where("a IS NOT NULL").select("query_id", "a.*")
+
+
+@add(f" SELECT query_id, array_to_string(list_filter(list_distinct(toks), lambda t: 1 = 0), ' ') || coalesce((SELECT string_agg(term, ' ' ORDER BY term) FROM (SELECT DISTINCT unnest(toks) AS term) WHERE length(term) >= 2 AND NOT regexp_matches(term, '^\\d+$') AND term NOT IN ({', '.join(map(literal, V.STOPWORDS))})), '') AS residual FROM qt")
+def residual_terms(spark, sf):
+    left = F.filter(F.array_distinct("toks"), lambda t: ~t.isin(*V.STOPWORDS) & (F.length(t) >= 2) & ~t.rlike("^\\d+$"))
+    return X.queries_df(spark).select("query_id", F.array_join(F.sort_array(left), " ").alias("residual"))
+
+
+@add(f" SELECT term, count(*) AS df FROM (SELECT DISTINCT pos, unnest({toks_sql(chr(99) + 'oncat_ws(' + repr(' ') + ', name, brand)')}) AS term FROM poi) WHERE regexp_matches(term, '^[a-z]{{3,}}$') GROUP BY term HAVING count(*) <= 2")
+def distinctive_terms(spark, sf):
+    words = places(spark, sf).select("pos", F.explode(B.content_tokens()).alias("term")).where("term RLIKE '^[a-z]{3,}$'")
+    return words.groupBy("term").agg(F.count("*").alias("df")).where("df <= 2")
+
+
+@add()
+def parse_intents(spark, sf):
+    return P.parse(spark, X.queries_df(spark).select("query_id", "text"), places(spark, sf)).select("query_id", "want_category", F.array_join("required", ";").alias("required"), "want_city", "want_district", "open_after", "price_pref", "nearest", "anchor_name", "anchor_lat", "anchor_lon", F.array_join("residual", " ").alias("residual"), F.array_join("terms", " ").alias("terms"))
+
+
+# Explanations and projections.
+
+REASONS = f""", rs AS (SELECT query_id, pos, rank, list_filter([
+  CASE WHEN len(list_intersect(fr, fa)) > 0 THEN array_to_string(list_transform(list_filter({X.list_sql('req')}, lambda a: list_contains(fa, {fold_sql('a')})), lambda a: '✓ ' || a), ', ') END,
+  CASE WHEN anchor_name IS NULL THEN NULL WHEN district = want_district AND starts_with(anchor_name, want_district) THEN 'trong ' || want_district
+    WHEN km >= 1 THEN 'cách ' || anchor_name || ' ' || printf('%.1f km', km) ELSE 'cách ' || anchor_name || ' ' || CAST(CAST(round(km * 100) * 10 AS INTEGER) AS VARCHAR) || ' m' END,
+  printf('%.1f', rating) || '★ · ' || replace(format('{{:,}}', review_count), ',', '.') || ' đánh giá',
+  CASE WHEN opening_hours = '24/7' THEN 'mở 24/7' WHEN opening_hours IS NOT NULL THEN 'mở đến ' || regexp_extract(opening_hours, '-(.*)$', 1) END], lambda x: x IS NOT NULL) AS rs FROM final WHERE rank <= 5)"""
+
+
+@add(REASONS + " SELECT query_id, pos, rank, array_to_string(rs[1:4], ' | ') AS reasons FROM rs")
+def reasons(spark, sf):
+    return X.final(spark, sf).where("rank <= 5").select("query_id", "pos", "rank", F.array_join(R.reasons(), " | ").alias("reasons"))
+
+
+@add(" SELECT pos, CAST(CASE WHEN list_contains(string_split(attributes, ';'), 'wifi') THEN 2 ELSE 3 END AS BIGINT) AS n_bad FROM poi")
+def validate_reasons(spark, sf):
+    said = F.array(F.lit("✓ wifi"), F.lit("✓ hồ bơi"), F.lit("9.9★ · 1 đánh giá"), F.concat(F.format_string("%.1f", F.col("rating")), F.lit("★ · "), T.thousands(F.col("review_count")), F.lit(" đánh giá")))
+    return places(spark, sf).select("pos", F.size(R.violations(said)).alias("n_bad"))
+
+
+@add(" SELECT query_id, rank, '{\"id\":\"poi:' || poi_id || '\",\"label\":\"' || name || ', ' || district || '\",\"category\":\"' || category || '\"}' AS place FROM final WHERE rank <= 3")
+def place_result_json(spark, sf):
+    place = F.to_json(F.struct(F.concat(F.lit("poi:"), "poi_id").alias("id"), F.concat_ws(", ", "name", "district").alias("label"), "category"))
+    return X.final(spark, sf).where("rank <= 3").select("query_id", "rank", place.alias("place"))
+
+
+@add(" SELECT pos, replace(format('{:,}', review_count), ',', '.') AS shown FROM poi")
+def fmt_int(spark, sf):
+    return places(spark, sf).select("pos", T.thousands(F.col("review_count")).alias("shown"))
+
+
+# Evaluation: queries are vectors, relevant are the first five of their label.
+
+EVAL = """, ev AS (SELECT vec_id, label FROM embeddings WHERE vec_id < 20), rel AS (SELECT 'V' || ev.vec_id AS query_id, e.vec_id AS poi_id, row_number() OVER (PARTITION BY ev.vec_id ORDER BY e.vec_id) AS ord FROM ev JOIN embeddings e ON e.label = ev.label AND e.vec_id <> ev.vec_id),
+  rels AS (SELECT query_id, poi_id, CASE ord WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS gain FROM rel WHERE ord <= 5),
+  er AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, poi_id) AS rank FROM (SELECT 'V' || a.vec_id AS query_id, b.vec_id AS poi_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND a.vec_id <> b.vec_id)),
+  ideal AS (SELECT query_id, count(*) AS n, sum(CASE WHEN i <= 5 THEN gain / log2(i + 1.0e0) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS i FROM rels) GROUP BY query_id),
+  hit AS (SELECT query_id, count(*) FILTER (rank <= 3) AS h3, count(*) FILTER (rank <= 5) AS h5, sum(CASE WHEN rank <= 5 THEN gain / log2(rank + 1.0e0) ELSE 0 END) AS dcg, min(rank) AS first FROM er JOIN rels USING (query_id, poi_id) GROUP BY query_id),
+  metrics AS (SELECT query_id, coalesce(h3 * 1.0e0 / n, 0) AS recall3, coalesce(h5 * 1.0e0 / n, 0) AS recall5, coalesce(dcg / idcg, 0) AS ndcg5, coalesce(1.0e0 / first, 0) AS mrr FROM ideal LEFT JOIN hit USING (query_id)),
+  strata AS (SELECT *, CASE CAST(substr(query_id, 2) AS INTEGER) % 3 WHEN 0 THEN 'Easy' WHEN 1 THEN 'Medium' ELSE 'Hard' END AS difficulty, CASE CAST(substr(query_id, 2) AS INTEGER) % 4 WHEN 0 THEN 'a' ELSE 'b' END AS query_category FROM metrics)"""
+
+
+def rels_df(spark, sf) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf, "embeddings")
+    pairs = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("q"), "label")).join(e.select("vec_id", "label"), "label").where("q <> vec_id")
+    first = pairs.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy("vec_id"))).where("ord <= 5")
+    expected = first.groupBy(F.concat(F.lit("V"), "q").alias("query_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "vec_id"))), lambda x: x["vec_id"]).alias("expected_ids"))
+    return E.qrels(expected)
+
+
+def vector_ranks(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
+    q = e.where("pos < 20").select(F.concat(F.lit("V"), "pos").alias("query_id"), "v")
+    found = B.dense(q, e).where(F.concat(F.lit("V"), "pos") != F.col("query_id"))
+    return B.ranked(found.drop("rank")).select("query_id", F.col("pos").alias("poi_id"), "rank")
+
+
+def metrics_df(spark, sf) -> DataFrame:
+    n = F.substring("query_id", 2, 9).cast("int")
+    m = E.per_query(vector_ranks(spark, sf), rels_df(spark, sf))
+    return m.withColumns({"difficulty": F.when(n % 3 == 0, "Easy").when(n % 3 == 1, "Medium").otherwise("Hard"), "query_category": F.when(n % 4 == 0, "a").otherwise("b")})
+
+
+@add(EVAL + " SELECT query_id, poi_id, CAST(gain AS BIGINT) AS gain FROM rels")
+def eval_gains(spark, sf):
+    return rels_df(spark, sf)
+
+
+@add(EVAL + " SELECT query_id, round(recall3, 6) AS recall3, round(recall5, 6) AS recall5 FROM metrics")
+def recall_at_k(spark, sf):
+    return metrics_df(spark, sf).select("query_id", "recall3", "recall5")
+
+
+@add(EVAL + " SELECT query_id, round(ndcg5, 6) AS ndcg5 FROM metrics")
+def ndcg_at_5(spark, sf):
+    return metrics_df(spark, sf).select("query_id", "ndcg5")
+
+
+@add(EVAL + " SELECT query_id, round(mrr, 6) AS mrr FROM metrics")
+def mrr(spark, sf):
+    return metrics_df(spark, sf).select("query_id", "mrr")
+
+
+@add(EVAL + " SELECT difficulty, query_category, count(*) AS n, round(avg(recall3), 6) AS recall3, round(avg(recall5), 6) AS recall5, round(avg(ndcg5), 6) AS ndcg5, round(avg(mrr), 6) AS mrr FROM strata GROUP BY GROUPING SETS ((), (difficulty), (query_category))")
+def eval_grouping_sets(spark, sf):
+    return E.summary(metrics_df(spark, sf))
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    x = str(seed)
+    for k in keys:
+        x = f"((({x}) * 69069 + ({k}) * 7919 + 12345) % 2147483647)"
+    for _ in range(3):
+        x = f"((({x}) * 48271 + 11) % 2147483647)"
+    return f"({x} / 2147483647.0e0)"
+
+
+@add(EVAL + f""", num AS (SELECT row_number() OVER (ORDER BY query_id) AS i, ndcg5 AS m FROM metrics), nn AS (SELECT count(*) AS n FROM num), draws AS (SELECT b, CAST(floor({uniform_sql(20260712, 'b', 'd')} * n) AS BIGINT) + 1 AS i FROM nn, (SELECT CAST(unnest(range(1, 501)) AS BIGINT) AS b), LATERAL (SELECT CAST(unnest(range(1, n + 1)) AS BIGINT) AS d)),
+  means AS (SELECT b, avg(m) AS m FROM draws JOIN num USING (i) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round((SELECT avg(m) FROM num), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS high FROM means""")
+def bootstrap_ci(spark, sf):
+    return E.bootstrap(metrics_df(spark, sf), "ndcg5", 500)
+
+
+@add("""WITH s AS (SELECT 'D' || doc_id AS query_id, lang AS stratum FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42:' || query_id)) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM s)
+  SELECT query_id, stratum, CASE WHEN r <= round_even(n / 3.0e0, 0) THEN 'test' ELSE 'tune' END AS split FROM o""", common=False)
+def stratified_split(spark, sf):
+    q = table(spark, sf, "documents").select(F.concat(F.lit("D"), "doc_id").alias("query_id"), F.col("lang").alias("stratum"))
+    return E.split(q)
+
+
+@add(" SELECT query_id, text FROM qs WHERE query_id IN ('Q02', 'Q05', 'Q09', 'nope')")
+def split_semi(spark, sf):
+    test = small(spark, [("Q02",), ("Q05",), ("Q09",), ("nope",)], "query_id string")
+    return X.queries_df(spark).join(F.broadcast(test), "query_id", "left_semi").select("query_id", "text")
+
+
+LANES = {"bm25": "bmr", "dense": "dnr", "full": "final"}
+
+
+@add(""", prel AS (SELECT it.query_id, poi.pos, CASE WHEN popularity >= 90 THEN 3 ELSE 1 END AS gain FROM it JOIN poi ON poi.category = it.want_category AND popularity >= 80),
+  lanes AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS engine, query_id, pos, rank FROM {v}" for k, v in LANES.items()) + """)
+  SELECT engine, query_id, count(*) FILTER (rank <= 5) AS hits5, min(rank) AS first FROM lanes JOIN prel USING (query_id, pos) GROUP BY engine, query_id""")
+def ablation(spark, sf):
+    good = F.broadcast(X.intents_df(spark).select("query_id", F.col("want_category").alias("category"))).join(places(spark, sf).where("popularity >= 80").select("pos", "category"), "category").select("query_id", "pos")
+    lanes = {"bm25": X.lexical(spark, sf), "dense": X.dense(spark, sf), "full": X.final(spark, sf)}
+    every = None
+    for k, v in lanes.items():
+        one = v.select(F.lit(k).alias("engine"), "query_id", "pos", "rank")
+        every = one if every is None else every.unionByName(one)
+    return every.join(good, ["query_id", "pos"]).groupBy("engine", "query_id").agg(F.count_if(F.col("rank") <= 5).alias("hits5"), F.min("rank").alias("first"))
+
+
+@add("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS top, count(*) AS n FROM events", common=False)
+def quantiles(spark, sf):
+    return table(spark, sf, "events").agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"), F.max("value").alias("top"), F.count("*").alias("n"))
+
+
+@add(", r AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events) SELECT round(max(value) FILTER (i = CAST(floor(n * 0.95e0) AS BIGINT)), 6) AS p95_index, round(max(value) FILTER (i = CAST(round_even((n - 1) * 0.95e0, 0) AS BIGINT) + 1), 6) AS p95_nearest FROM r")
+def quantiles_by_rank(spark, sf):
+    e = table(spark, sf, "events").where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("c"))
+    from pyspark.sql.window import Window
+
+    upto = e.withColumn("hi", F.sum("c").over(Window.orderBy("value"))).withColumn("lo", F.col("hi") - F.col("c"))
+    n = upto.agg(F.max("hi").alias("n"))
+    at = lambda i: F.max(F.when((F.col("lo") < i) & (F.col("hi") >= i), F.col("value")))
+    return upto.crossJoin(F.broadcast(n)).agg(at(F.floor(F.col("n") * 0.95)).alias("p95_index"), at(F.bround((F.col("n") - 1) * 0.95) + 1).alias("p95_nearest"))
+
+
+# Model output as data.
+
+OUTPUTS = [
+    ("Q01", '```json\n{"category": "Nhà hàng", "attributes": ["wifi", "hồ bơi"], "price_pref": "cheap", "open_after": "22:30"}\n```'),
+    ("Q02", 'Here: {"category": "Sân bay", "attributes": [], "price_pref": "free", "open_after": "25:00"} ok'),
+    ("Q03", "not json"), ("Q05", '{"attributes": ["yên tĩnh", "wifi"], "corrected_query": "cà phê quận 1"}'), ("Q08", '{"category": "ATM"}'),
+]
+VALID = [("Q01", "Nhà hàng", "cheap", "22:30", "wifi", "attribute:hồ bơi"), ("Q02", None, None, None, "", "category;price_pref;open_after"), ("Q03", None, None, None, "", ""), ("Q05", None, None, None, "yên tĩnh;wifi", ""), ("Q08", "ATM", None, None, "", "")]
+
+
+@add(values(VALID, "query_id string, category string, price_pref string, open_after string, attributes string, dropped string"), common=False)
+def llm_validate(spark, sf):
+    v = P.validated(small(spark, OUTPUTS, "query_id string, raw string"))
+    return v.select("query_id", "category", "price_pref", "open_after", F.array_join("attributes", ";").alias("attributes"), F.array_join("dropped", ";").alias("dropped"))
+
+
+@add(f""", v AS ({values(VALID, 'query_id string, category string, price_pref string, open_after string, attributes string, dropped string')})
+  SELECT it.query_id, coalesce(want_category, category) AS want_category, coalesce(it.price_pref, v.price_pref) AS price_pref, CAST(coalesce(it.open_after, CAST(split_part(v.open_after, ':', 1) AS INTEGER) * 60 + CAST(split_part(v.open_after, ':', 2) AS INTEGER)) AS BIGINT) AS open_after,
+  array_to_string(list_sort(list_distinct(list_concat({X.list_sql('req')}, {X.list_sql('attributes')}))), ';') AS required FROM it LEFT JOIN v USING (query_id)""")
+def merge_intent(spark, sf):
+    m = P.merged(X.intents_df(spark), P.validated(small(spark, OUTPUTS, "query_id string, raw string")))
+    return m.select("query_id", "want_category", "price_pref", "open_after", F.array_join(F.sort_array("required"), ";").alias("required"))
+
+
+GUARD = [("a", "ATM", "wifi", "x", "ATM", "wifi;late", "x"), ("b", "ATM", "", "", None, "", ""), ("c", None, "wifi", "", "ATM", "", ""), ("d", None, "", "x", None, "", "x;y"), ("e", None, "", "", "ATM", "", "")]
+
+
+@add(f"WITH g AS ({values(GUARD, 'id string, c1 string, r1 string, t1 string, c2 string, r2 string, t2 string')}) SELECT id, (c1 IS NOT NULL AND c2 IS NULL) OR len(list_filter({X.list_sql('r1')}, lambda x: NOT list_contains({X.list_sql('r2')}, x))) > 0 OR len({X.list_sql('t2')}) > len({X.list_sql('t1')}) AS worse FROM g", common=False)
+def rewrite_guard(spark, sf):
+    g = small(spark, GUARD, "id string, c1 string, r1 string, t1 string, c2 string, r2 string, t2 string")
+    intent = lambda i: F.struct(F.col(f"c{i}").alias("category"), split_list(F.col(f"r{i}")).alias("required"), split_list(F.col(f"t{i}")).alias("residual"))
+    return g.select("id", intent(1).alias("before"), intent(2).alias("after")).select("id", P.degrades("before", "after").alias("worse"))
+
+
+GRID = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5]
+PREL = ", prel AS (SELECT it.query_id, poi_id, CASE WHEN popularity >= 95 THEN 3 ELSE 1 END AS gain FROM it JOIN poi ON poi.category = it.want_category AND popularity >= 90)"
+
+
+def place_rels(spark, sf) -> DataFrame:
+    wanted = F.broadcast(X.intents_df(spark).select("query_id", F.col("want_category").alias("category")))
+    return wanted.join(places(spark, sf).where("popularity >= 90"), "category").select("query_id", "poi_id", F.when(F.col("popularity") >= 95, 3).otherwise(1).alias("gain"))
+
+
+@add(PREL + f""", gv AS (SELECT unnest([{', '.join(f'{g}e0' for g in GRID)}]) AS value), gs AS (SELECT value, query_id, poi_id, pos, round({X.score_sql(S.TUNED | {'popularity': 0.0}).replace('0.0e0 * sig_popularity', 'value * sig_popularity').replace('(0.0e0) * sig_popularity', '(value) * sig_popularity')}, 9) AS s0, sig.* EXCLUDE (query_id, poi_id, pos) FROM sig CROSS JOIN gv),
+  gr AS (SELECT value, query_id, poi_id, row_number() OVER (PARTITION BY value, query_id ORDER BY round(({' + '.join(f"(CASE WHEN anchor_lat IS NULL THEN 0.0e0 ELSE {S.TUNED[k]}e0 END) * sig_{k}" if k == 'distance' else (f'value * sig_{k}' if k == 'popularity' else f'{S.TUNED[k]}e0 * sig_{k}') for k in S.WEIGHTS)}) / ({' + '.join('(CASE WHEN anchor_lat IS NULL THEN 0.0e0 ELSE ' + str(S.TUNED[k]) + 'e0 END)' if k == 'distance' else ('value' if k == 'popularity' else f'{S.TUNED[k]}e0') for k in S.WEIGHTS)}), 9) DESC, pos) AS rank FROM gs),
+  gd AS (SELECT value, query_id, sum(coalesce(gain, 0) / log2(rank + 1.0e0)) AS dcg FROM gr LEFT JOIN prel USING (query_id, poi_id) WHERE rank <= 5 GROUP BY value, query_id),
+  gi AS (SELECT query_id, sum(gain / log2(i + 1.0e0)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS i FROM prel) WHERE i <= 5 GROUP BY query_id)
+  SELECT value, round(avg(dcg / idcg), 6) AS ndcg5 FROM gd JOIN gi USING (query_id) GROUP BY value""")
+def tune_grid_scores(spark, sf):
+    return E.grid_scores(X.signals(spark, sf), S.TUNED, "popularity", GRID, place_rels(spark, sf))
+
+
+# Synthetic data.
+
+WEIGHTED = [("a", 3), ("b", 3), ("c", 1), ("d", 2), ("e", 7)]
+
+
+@add(f"WITH w AS ({values(WEIGHTED, 'key string, weight int')}), q AS (SELECT key, weight * 100.0e0 / sum(weight) OVER () AS q FROM w), f AS (SELECT key, q, CAST(floor(q) AS BIGINT) AS n, 100 - sum(floor(q)) OVER () AS rest FROM q) SELECT key, n + CASE WHEN row_number() OVER (ORDER BY round(q - n, 9) DESC, key DESC) <= rest THEN 1 ELSE 0 END AS n FROM f", common=False)
+def apportion(spark, sf):
+    return Y.apportion(small(spark, WEIGHTED, "key string, weight int"), 100)
+
+
+@add(" SELECT city, round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat, round(min(lon), 6) AS min_lon, round(max(lon), 6) AS max_lon, array_to_string(list_sort(list_distinct(list(district))), '|') AS districts, count(*) AS n FROM poi GROUP BY city")
+def city_boxes(spark, sf):
+    return Y.city_boxes(places(spark, sf))
+
+
+LATE = "coalesce(opening_hours = '24/7' OR split_part(split_part(opening_hours, '-', 2), ':', 1)::INT * 60 + split_part(split_part(opening_hours, '-', 2), ':', 2)::INT < split_part(split_part(opening_hours, '-', 1), ':', 1)::INT * 60 + split_part(split_part(opening_hours, '-', 1), ':', 2)::INT OR split_part(split_part(opening_hours, '-', 2), ':', 1)::INT >= 23, FALSE)"
+LATE = f"CASE WHEN opening_hours IS NULL THEN FALSE WHEN opening_hours = '24/7' THEN TRUE ELSE {LATE} END"
+
+
+@add(f" SELECT pos, {LATE} AS late FROM poi")
+def late_hours(spark, sf):
+    return places(spark, sf).select("pos", Y.open_late(F.col("opening_hours")).alias("late"))
+
+
+@add(f""", s AS (SELECT 'S1' AS query_id, poi_id, row_number() OVER (ORDER BY rating DESC, popularity DESC, pos) AS ord FROM poi WHERE category = 'ATM' AND city = 'Hà Nội' AND list_contains(string_split(attributes, ';'), 'wifi')
+  UNION ALL SELECT 'S2', poi_id, row_number() OVER (ORDER BY coalesce(price_level, 99), rating DESC, pos) FROM poi WHERE category = 'Quán cà phê' AND {LATE}
+  UNION ALL SELECT 'S3', poi_id, row_number() OVER (ORDER BY coalesce(price_level, 0) DESC, rating DESC, pos) FROM poi WHERE price_level IN (3, 4)) SELECT * FROM s WHERE ord <= 8""")
+def synth_predicate_labels(spark, sf):
+    specs = [("S1", Y.predicate(category="ATM", city="Hà Nội", attributes=("wifi",)), "quality"), ("S2", Y.predicate(category="Quán cà phê", late=True), "price_asc"), ("S3", Y.predicate(price=(3, 4)), "price_desc")]
+    return Y.labels(places(spark, sf), specs)
+
+
+@add(f"WITH c AS (SELECT key, weight, i AS ord, sum(weight) OVER (ORDER BY i) AS high, sum(weight) OVER () AS total FROM ({values([(i, k, w) for i, (k, w) in enumerate(WEIGHTED)], 'i int, key string, weight int')})), d AS (SELECT p_partkey AS draw_id, {uniform_sql(7, 'CAST(p_partkey AS BIGINT)')} AS u FROM part) SELECT draw_id, key AS choice FROM d JOIN c ON u * total >= high - weight AND u * total < high", common=False)
+def weighted_choice(spark, sf):
+    draws = table(spark, sf, "part").select(F.col("p_partkey").alias("draw_id"), E.uniform(7, F.col("p_partkey")).alias("u"))
+    return Y.weighted_choice(draws, small(spark, [(i, k, w) for i, (k, w) in enumerate(WEIGHTED)], "ord int, key string, weight int"))
+
+
+@add()
+def weighted_sample(spark, sf):
+    items = places(spark, sf).select(F.col("city").alias("group"), F.col("poi_id").alias("item"), F.col("popularity").alias("weight"), "pos")
+    return Y.weighted_sample(items, 5, E.uniform(11, F.col("pos"))).select("group", "item")
+
+
+@add(" SELECT pos, CASE WHEN length(name) >= 4 THEN substr(name, 1, 1) || substr(name, 3, 1) || substr(name, 2, 1) || substr(name, 4) ELSE name END AS typo FROM poi")
+def typo_swap(spark, sf):
+    return places(spark, sf).select("pos", Y.swapped(F.col("name"), F.lit(2)).alias("typo"))
+
+
+@add(" SELECT source, category, count(*) AS n FROM (SELECT 'official' AS source, category FROM poi UNION ALL SELECT 'synthetic', category FROM poi WHERE pos % 3 = 0) GROUP BY ALL")
+def union_corpora(spark, sf):
+    p = places(spark, sf)
+    both = p.withColumn("source", F.lit("official")).unionByName(p.where("pos % 3 = 0").withColumn("source", F.lit("synthetic")))
+    return both.groupBy("source", "category").agg(F.count("*").alias("n"))
+
+
+@add(f", g AS ({values([(1, 'quán cà phê yên tĩnh quận 1'), (2, 'QUAN CA PHE YEN TINH QUAN 1'), (3, 'bãi biển')], 'id int, text string')}) SELECT CAST(id AS BIGINT) AS id, text FROM g WHERE text NOT IN (SELECT text FROM qs) AND {fold_sql('text')} NOT IN (SELECT {fold_sql('text')} FROM qs)")
+def unseen_queries(spark, sf):
+    made = small(spark, [(1, "quán cà phê yên tĩnh quận 1"), (2, "QUAN CA PHE YEN TINH QUAN 1"), (3, "bãi biển")], "id int, text string")
+    old = X.queries_df(spark).select(T.fold(F.col("text")).alias("f")).distinct()
+    return made.withColumn("f", T.fold(F.col("text"))).join(F.broadcast(old), "f", "left_anti").select("id", "text")
+
+
+@add("SELECT doc_id, sha1('local:m1:' || text) AS key FROM documents", common=False)
+def cache_key_sha1(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", cache_key("local", "m1", F.col("text")).alias("key"))
+
+
+@add("SELECT doc_id FROM documents WHERE doc_id % 2 = 1", common=False)
+def cache_misses(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return missing(d, d.where("doc_id % 2 = 0"), "doc_id")
+
+
+@add(" SELECT q.query_id, count(f.pos) AS n FROM qs q LEFT JOIN final f ON f.query_id = q.query_id AND f.rank <= 10 GROUP BY q.query_id")
+def robustness_nonempty(spark, sf):
+    return X.queries_df(spark).select("query_id").join(X.final(spark, sf).where("rank <= 10").select("query_id", "pos"), "query_id", "left").groupBy("query_id").agg(F.count("pos").alias("n"))
+
+
+COMMON_WORDS = [("# a comment",), ("nhất",), ("nhật",), ("",), ("  đi ",), ("đi",)]
+
+
+@add(values([("nhat", "nhất|nhật"), ("di", "đi")], "folded string, forms string"), common=False)
+def common_words(spark, sf):
+    d = display_words(small(spark, COMMON_WORDS, "value string"))
+    return d.select("folded", F.array_join("forms", "|").alias("forms"))
+
 
 def queries():
-    return {}
+    return dict(REG.queries)
 
 
 def oracle_sql():
-    return {}
+    return dict(REG.sql)
+
+
+__all__ = ["COMMON", "oracle_sql", "queries"]
