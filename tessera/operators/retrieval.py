@@ -82,7 +82,7 @@ def canonical(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     is left after one deletion, so only they are compared, not all pairs.
     """
     unknown = words.select("term").distinct().join(vocabulary.select("term"), "term", "left_anti").where(F.length("term") >= 4)
-    side = lambda df, name: df.where(F.length("term") >= 4).select(F.col("term").alias(name), F.explode(deletions(F.col("term"))).alias("variant"))
+    side = lambda df, name: df.where(F.length("term") >= 4).select("term", F.explode(deletions(F.col("term"))).alias("variant")).withColumnRenamed("term", name)
     pairs = side(unknown, "term").join(side(vocabulary.select("term").distinct(), "other"), "variant").select("term", "other").distinct().where(edit1(F.col("term"), F.col("other")))
     tier = F.when(transposed(F.col("term"), F.col("other")), 0).otherwise(1)
     best = pairs.withColumn("tier", tier).groupBy("term", "tier").agg(F.count("*").alias("n"), F.min("other").alias("canonical"))

@@ -65,7 +65,7 @@ def has_diacritics_gate(spark, sf):
 
 @add(f", w AS ({values(WORDS, 'id int, term string')}) SELECT w.term, dq.term AS other FROM w JOIN dq ON length(w.term) >= 4 AND length(dq.term) >= 4 AND damerau_levenshtein(w.term, dq.term) <= 1")
 def osa_edit1_pairs(spark, sf):
-    side = lambda df, n: df.select(F.col("term").alias(n), F.explode(T.deletions(F.col("term"))).alias("v")).where(F.length(n) >= 4)
+    side = lambda df, n: df.select("term", F.explode(T.deletions(F.col("term"))).alias("v")).withColumnRenamed("term", n).where(F.length(n) >= 4)
     w, lex = small(spark, WORDS, "id int, term string"), X.index(spark, sf).df
     return side(w, "term").join(side(lex, "other"), "v").select("term", "other").distinct().where(T.edit1(F.col("term"), F.col("other")))
 
@@ -157,11 +157,11 @@ def bm25_drop(spark, sf):
 OOV = [("T1", "wjfi khogn"), ("T2", "standrad rong"), ("T3", "ghi wifi ecnomy"), ("T4", "")]
 
 
-@add(f""", w AS (SELECT query_id, unnest({toks_sql('text')}) AS term, generate_subscripts({toks_sql('text')}, 1) AS at FROM ({values(OOV, 'query_id string, text string')})),
+@add(f""", w AS (SELECT query_id, unnest({toks_sql('text')}) AS term, generate_subscripts({toks_sql("text")}, 1) AS place FROM ({values(OOV, 'query_id string, text string')})),
   u AS (SELECT DISTINCT term FROM w WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM dq)),
   c AS (SELECT u.term, dq.term AS other, CASE WHEN length(u.term) = length(dq.term) AND levenshtein(u.term, dq.term) = 2 THEN 0 ELSE 1 END AS tier FROM u JOIN dq ON length(dq.term) >= 4 AND damerau_levenshtein(u.term, dq.term) <= 1),
   b AS (SELECT *, min(tier) OVER (PARTITION BY term) AS best FROM c), canon AS (SELECT term, min(other) AS canonical FROM b WHERE tier = best GROUP BY term HAVING count(*) = 1)
-  SELECT query_id, string_agg(coalesce(canonical, w.term), ' ' ORDER BY at) AS toks FROM w LEFT JOIN canon USING (term) GROUP BY query_id UNION ALL SELECT 'T4', ''""")
+  SELECT query_id, string_agg(coalesce(canonical, w.term), ' ' ORDER BY place) AS toks FROM w LEFT JOIN canon USING (term) GROUP BY query_id UNION ALL SELECT 'T4', ''""")
 def bm25_oov(spark, sf):
     q = small(spark, OOV, "query_id string, text string").withColumn("toks", T.tokens(F.col("text")))
     return B.correct(q, X.index(spark, sf).df).select("query_id", F.array_join("toks", " ").alias("toks"))
@@ -484,7 +484,7 @@ def eval_grouping_sets(spark, sf):
 
 
 def uniform_sql(seed: int, *keys: str) -> str:
-    x = str(seed)
+    x = f"CAST({seed} AS BIGINT)"
     for k in keys:
         x = f"((({x}) * 69069 + ({k}) * 7919 + 12345) % 2147483647)"
     for _ in range(3):
