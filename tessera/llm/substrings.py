@@ -258,11 +258,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram:
     """
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    places = docs.mapInArrow(_places(span, gram), PLACES)
-    # A fingerprint of two documents or more belongs to its first document's shard.
-    shared = places.groupBy("fp").agg(F.min("doc_id").alias("shard"), F.max("doc_id").alias("last")).where("shard < last").select("fp", "shard")
+    places = scratch.write(docs.mapInArrow(_places(span, gram), PLACES))
+    # A fingerprint of two documents or more belongs to its first document's shard. It is a table, so that Spark can split a
+    # frequent fingerprint's places in the join, which it can't where the same shuffle also feeds an aggregation.
+    shared = scratch.write(places.groupBy("fp").agg(F.min("doc_id").alias("shard"), F.max("doc_id").alias("last")).where("shard < last").select("fp", "shard"))
     own = places.join(shared, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "at")).alias("shared"))
     runs = scratch.write(docs.join(own, "doc_id").select("doc_id", "text", "shared").mapInArrow(_runs(span, gram), RUNS))
+    scratch.drop(places)
+    scratch.drop(shared)
     parts = runs.groupBy("shard").agg(F.ceil(F.sum("n") / SHARD_WORDS).cast("int").alias("parts"))
     large = scratch.write(parts.where("parts > 1"))
     part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
