@@ -65,7 +65,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     root is the smallest node. Large-star and small-star steps alternate until the edges no longer change,
     in about log(n)^2 rounds; each round is two partial aggregations and two joins, written to the shared
-    folder. A hub is one row on the aggregated side of each join, so its many edges can be split at will.
+    folder. A hub is one row on the aggregated side of each join. Its edges still meet in one task there, as Spark
+    doesn't split a shuffle that also feeds an aggregation.
     Null ends and loops are ignored; no edges give no rows.
     """
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
