@@ -77,7 +77,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str,
     Repeated pages each return a row; an empty table returns an empty one; other columns are not read.
     """
     scratch = Scratch(spark)
-    edges = links(pages.select("url", "html"))
+    # A table, as else Spark puts the expressions over tags into those over their parts, and that code outgrows its compiler.
+    edges = scratch.write(links(pages.select("url", "html")))
     if redirects is not None:
         edges = edges.unionByName(redirects.select("src", "dst"))
     edges = with_parts(with_parts(edges, "src").select("dst", F.col("key").alias("a")), "dst").select("a", F.col("key").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
