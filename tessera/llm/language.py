@@ -15,6 +15,8 @@ from tessera.llm.common import small_batches
 DOCS, CHARS, BYTES = 96, 4_000, 112_640
 #: Greedy matches of 4 bytes or more: short ones tell languages apart.
 LEVEL, MATCH = 3, 4
+#: Bytes compressed at a time, at most: a text's own history must not take the place of the dictionary.
+BLOCK = 8192
 #: A choice is rejected if the second-best size is larger by less than this part of it.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -26,6 +28,12 @@ def plain(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+def blocks(data: bytes) -> list[bytes]:
+    """data in parts of equal size, as few as BLOCK allows."""
+    step = -(-len(data) // -(-len(data) // BLOCK))
+    return [data[i : i + step] for i in range(0, len(data), step)]
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -49,7 +57,8 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
 
     lang_pred is the language of the smallest size, among equals the one with more documents; `und` if text is null
     or has no letter, or no language was learned. score is (second - best) / second, 1 with one language alone and 0
-    for `und`. rejected says that the margin is under MARGIN, or that the text is `und`. Whole texts are compressed.
+    for `und`. rejected says that the margin is under MARGIN, or that the text is `und`. Whole texts are compressed,
+    in blocks that each begin with the dictionary alone, and the sizes of all blocks are summed.
     """
 
     @F.pandas_udf("struct<lang_pred:string,score:double,rejected:boolean>")
@@ -68,8 +77,8 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
                 if not model or not text or not any(map(str.isalpha, text)):
                     out.append((UNKNOWN, 0.0, True))
                     continue
-                data = plain(text)
-                sizes = [len(c.compress(data)) for c in compressors]
+                data = blocks(plain(text))
+                sizes = [sum(len(c.compress(x)) for x in data) for c in compressors]
                 best = min(range(len(sizes)), key=sizes.__getitem__)
                 second = min(sizes[:best] + sizes[best + 1 :], default=None)
                 score = 1.0 if second is None else (second - sizes[best]) / second
