@@ -20,16 +20,17 @@ from pyspark.sql.window import Window
 SCALE = 256.0
 #: Vectors of a shard and queries of a block, on average.
 SHARD, BLOCK = 4096, 512
-#: The largest component, so that scores fit 64 bits in up to 2^20 dimensions.
-LARGEST = 2.0**21
+#: Sums of whole numbers below this are exact in doubles; larger ones are made of Python's whole numbers.
+EXACT = 2.0**53
 
 BLOCKS = "dim int, {0} int, ids binary, vectors binary"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): components turned into whole numbers; null ids, null vectors, and those with unfit components are left out."""
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) <= LARGEST))
+    """(vec_id, v): components turned into whole numbers, held as doubles; null ids, null vectors, and those with a null or non-finite component are left out."""
+    # Doubles of 2^53 and more are whole already, and floor() of Spark would make 64-bit numbers of them.
+    v = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < EXACT / SCALE, F.floor(x.cast("double") * SCALE).cast("double")).otherwise(x.cast("double") * SCALE))
+    fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fit).select("vec_id", v.alias("v"))
 
 
@@ -39,7 +40,7 @@ def _packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
-        matrix = np.array(values, np.int32)[order]
+        matrix = np.array(values, np.float64)[order]
         return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, np.int64)[order].tobytes()]), pa.array([matrix.tobytes()])], names=["dim", "part", "ids", "vectors"])
 
     for batch in rows:
@@ -58,6 +59,7 @@ def _packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def maxscore(query: np.ndarray, shard: Shard, k: int, skip: int) -> list[tuple[int, int]]:
     """The k best (score, row) of a shard for a query, ties by row. Rows whose id is skip take no part."""
+    shard, query = shard.exact(query)
     n = len(shard.ids)
     terms = np.flatnonzero(query)
     own = shard.ids == skip
@@ -74,17 +76,17 @@ def maxscore(query: np.ndarray, shard: Shard, k: int, skip: int) -> list[tuple[i
     # A first threshold: the scores of those that stand highest in the best term.
     some = shard.top(terms[-1], bool(sign[-1]))
     first = shard.matrix[some[~own[some]]] @ query
-    floor = np.sort(first)[-k] if len(first) >= k else np.iinfo(np.int64).min
+    floor = np.sort(first)[-k] if len(first) >= k else 0
     # Terms whose bounds together stay under the threshold are not essential.
     essential = int(np.searchsorted(below, floor, side="left")) if floor > 0 else 0
-    score = np.zeros(n, np.int64)
+    score = np.zeros(n, query.dtype)
     if essential:
         touched = np.zeros(n, bool)
         for t, s in zip(terms[essential:], sign[essential:], strict=True):
             rows, values = shard.postings(t, bool(s))
             score[rows] += query[t] * values
             touched[rows] = True
-        rest = int(below[essential - 1])
+        rest = below[essential - 1]
         live = np.flatnonzero(touched & ~own & (score + rest >= floor))
         # What the essential terms take away from a score, then the other terms, those of larger bounds first.
         score = score[live]
@@ -95,24 +97,40 @@ def maxscore(query: np.ndarray, shard: Shard, k: int, skip: int) -> list[tuple[i
         live, score = live[keep], score[keep]
         for i in range(essential - 1, -1, -1):
             score += query[terms[i]] * shard.columns[terms[i]][live]
-            rest = int(below[i - 1]) if i else 0
+            rest = below[i - 1] if i else 0
             keep = score + rest >= floor
             live, score = live[keep], score[keep]
     else:
+        # All terms are essential: a product traverses all their postings.
         live = np.flatnonzero(~own)
         score = shard.matrix[live] @ query
-    best = np.lexsort((live, -score))[:k]
-    return list(zip(score[best].tolist(), live[best].tolist(), strict=True))
+    best = sorted(range(len(live)), key=lambda i: (-score[i], live[i]))[:k] if score.dtype == object else np.lexsort((live, -score))[:k]
+    return [(int(score[i]), int(live[i])) for i in best]
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    return np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
 
 
 class Shard:
     """Postings of a bounded number of vectors, sorted by id."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.matrix = ids, matrix.astype(np.int64)
-        self.columns = np.ascontiguousarray(self.matrix.T)
-        self.most, self.least = self.columns.max(axis=1), self.columns.min(axis=1)
+        self.ids, self.matrix = ids, matrix
+        self.columns = np.ascontiguousarray(matrix.T)
+        self.most, self.least = (f(axis=1) if len(ids) else np.zeros(matrix.shape[1]) for f in (self.columns.max, self.columns.min))
         self.lists: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+        self.wide: Shard | None = None
+
+    def exact(self, query: np.ndarray) -> tuple[Shard, np.ndarray]:
+        """This shard and query, or their forms in Python's whole numbers if a partial sum could leave what doubles hold exactly."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.abs(query) @ np.maximum(np.abs(self.most), np.abs(self.least)) if self.matrix.dtype != object else 0
+        if most < EXACT:
+            return self, query
+        if self.wide is None:
+            self.wide = Shard(self.ids, whole(self.matrix))
+        return self.wide, whole(query)
 
     def postings(self, term: int, positive: bool) -> tuple[np.ndarray, np.ndarray]:
         if (term, positive) not in self.lists:
@@ -122,17 +140,17 @@ class Shard:
 
     def top(self, term: int, positive: bool, n: int = 64) -> np.ndarray:
         x = self.columns[term] if positive else -self.columns[term]
-        return np.argpartition(-x, n)[:n] if len(x) > n else np.arange(len(x))
+        return np.argpartition(-x.astype(float), n)[:n] if len(x) > n else np.arange(len(x))
 
 
 def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (dim, shard, ids, vectors, q_ids, q_vectors): the k best of the shard for each query of the block."""
     for batch in batches:
         for r in batch.to_pylist():
-            matrix = lambda name: np.frombuffer(r[name], np.int32).reshape(-1, r["dim"])  # noqa: B023, E731
-            shard = Shard(np.frombuffer(r["ids"], np.int64), matrix("vectors"))
+            matrix = lambda name, of: np.frombuffer(r[name]).reshape(len(r[of]) // 8, r["dim"])  # noqa: B023, E731
+            shard = Shard(np.frombuffer(r["ids"], np.int64), matrix("vectors", "ids"))
             found = []
-            for q, query in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), matrix("q_vectors").astype(np.int64), strict=True):
+            for q, query in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), matrix("q_vectors", "q_ids"), strict=True):
                 found += [(q, int(shard.ids[i]), s) for s, i in maxscore(query, shard, k, q)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 3)], names=["query_id", "vec_id", "score"])
 
@@ -141,8 +159,9 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     """One row for each of a query's k best: query_id, rank, vec_id, score.
 
     vectors and queries need vec_id and embedding. score is the inner product of the whole numbers floor(256 * x); ties go to the smaller vec_id, and vectors with
-    the query's own vec_id don't count. Null ids, null vectors and those with a null, non-finite or too large
-    (over LARGEST / 256) component take no part; vectors meet those of their own length only, and an empty vector scores 0. Repeated
+    the query's own vec_id don't count. Null ids, null vectors and those with a null or non-finite
+    component take no part; all finite ones do, scored exactly whatever their size. A returned score beyond 64 bits raises an
+    OverflowError. Vectors meet those of their own length only, and an empty vector scores 0. Repeated
     queries count once; a repeated vector counts each time. With fewer than k vectors all are returned.
 
     Shards of about SHARD vectors meet blocks of about BLOCK queries, each as one packed row: a task holds one pair.
@@ -154,7 +173,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     for df, mean, name in ((usable(vectors), SHARD, "shard"), (usable(queries).dropDuplicates(["vec_id", "v"]), BLOCK, "block")):
         sized = df.select(F.size("v").alias("dim"), "vec_id", "v")
         counts = sized.groupBy("dim").agg(F.ceil(F.count("*") / mean).cast("int").alias("parts"))
-        dealt = sized.join(counts, "dim").select("dim", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", F.col("v").cast("array<int>").alias("v"))
+        dealt = sized.join(counts, "dim").select("dim", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
         packed = dealt.repartition("dim", "part").sortWithinPartitions("dim", "part").mapInArrow(_packed, BLOCKS.format("part"))
         tables.append(scratch.write(packed.withColumnRenamed("part", name)))
     shards, blocks = tables

@@ -40,6 +40,27 @@ def test_search_as_brute_force(spark, monkeypatch, seed, kind):
     assert topk.search(spark, df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_search_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 3)
+    r = random.Random(5)
+    rows = [(0, [9000.0, 1.0]), (1, [8.0, 3e4]), (50, [9000.0, 2.0]), (100, [-7e4, 0.5])] + [(i, [r.uniform(-1e6, 1e6), r.choice([3e7, 1.5, -2.0])]) for i in range(2, 40)]
+    df = spark.createDataFrame([(*x, 1, "s") for x in rows], VECTORS)
+    got = topk.search(spark, df, df.where("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, {0, 50, 100}, 5))
+    # Beyond what doubles hold exactly.
+    a, b = 2.0**27 + 8, 2.0**26 + 4
+    rows = [(0, [a, b, 1 / 256]), (1, [a, b, 1 / 256]), (2, [a, b, 0.0]), (3, [a, -b, 2 / 256]), (4, [-a, b, 0.0])]
+    df = spark.createDataFrame([(*x, 1, "s") for x in rows], VECTORS)
+    with pytest.raises(Exception, match="too large|OverflowError|overflow"):
+        topk.search(spark, df, df.where("vec_id = 0"), 2).collect()
+    rows = [(i, [x / 16 for x in e[:2]] + e[2:]) for i, e in rows]
+    df = spark.createDataFrame([(*x, 1, "s") for x in rows], VECTORS)
+    got = topk.search(spark, df, df.where("vec_id = 0"), 5).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, {0}, 5))
+    empty = spark.createDataFrame([(0, [], 1, "s"), (1, [], 1, "s")], VECTORS)
+    assert [tuple(x) for x in topk.search(spark, empty, empty.where("vec_id = 0"), 5).collect()] == [(0, 1, 1, 0)]
+
+
 def corpus(seed, n=600):
     r = random.Random(seed)
     rows = []
