@@ -9,7 +9,7 @@ import functools
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>", re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Elements that start and end blocks, that hold no text of the page, and that have no end.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
-SILENT = frozenset("head iframe math noscript object script style svg template title".split())
+#: Elements that hold no text of the page. Those of RAW go on to the page's end if nothing closes them, as browsers have it.
+SILENT = frozenset("head iframe script style svg template title".split())
+RAW = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element ends those of its group that are open in the same container.
-ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+ENDS = {k: (g.split(), h.split()) for k, g, h in (("li", "li", "ul ol menu dir"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select"))}
 SPACE = frozenset("br img input td th".split())
 
 
@@ -34,87 +37,114 @@ def _names(attributes: str) -> list[str]:
     return [w.lower() for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(m[2] or m[3] or m[4] or "")]
 
 
+class Element:
+    """An open element, linked to the one that holds it: blocks share their ancestors instead of copying them."""
+
+    __slots__ = ("parent", "tag", "names")
+
+    def __init__(self, parent: "Element | None", tag: str, names: list[str]):
+        self.parent, self.tag, self.names = parent, tag, names
+
+
 class Block:
-    """A leaf block: its text, the part of it in links, its ancestors' tags and names from the outermost on."""
+    """A leaf block: its text, the part of it in links, its innermost element."""
+
+    __slots__ = ("text", "linked", "element")
+
+    def __init__(self, text: str, linked: int, element: Element | None):
+        self.text, self.linked, self.element = text, linked, element
 
-    __slots__ = ("text", "linked", "tags", "names")
 
-    def __init__(self, text: str, linked: int, tags: list[str], names: list[list[str]]):
-        self.text, self.linked, self.tags, self.names = text, linked, tags, names
+class Open:
+    """The open elements; the last one of a tag is found without a walk, so each step's cost does not grow with the nesting."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, names: list[str]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Element(self.stack[-1] if self.stack else None, tag, names))
+
+    def pop(self, n: int) -> None:
+        """The elements from place n on end."""
+        while len(self.stack) > n:
+            self.places[self.stack.pop().tag].pop()
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in its order. Any text is a page; open elements end with what holds them."""
+    """The leaf blocks of a page in its order. Any text is a page; open elements end with what holds them.
+
+    Time and memory grow with the page's length, however its elements are nested or left open.
+    """
     out: list[Block] = []
-    tags: list[str] = []
-    names: list[list[str]] = []
+    open_ = Open()
     text: list[str] = []
-    linked = links = 0
-    at = 0
+    unclosed: set[str] = set()
+    linked = at = 0
+    last = page.rfind(">") + 1
 
     def end() -> None:
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, linked, tags[:], names[:]))
+                out.append(Block(whole, linked, open_.stack[-1] if open_.stack else None))
             text.clear()
         linked = 0
 
-    def pop(n: int) -> None:
-        nonlocal links
-        links -= tags[n:].count("a")
-        del tags[n:], names[n:]
-
-    while m := TOKEN.search(page, at):
+    # Beyond the last > no element is closed, and only a comment can begin.
+    while m := TOKEN.search(page, at, last) if at < last else COMMENT.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
-            if links:
+            if open_.places.get("a"):
                 linked += len(piece.strip())
         at = m.end()
-        if m[2] is None:
+        if m.lastindex is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCKS:
                 end()
-            if tag in tags:
-                pop(len(tags) - 1 - tags[::-1].index(tag))
+            if (n := open_.last(tag)) >= 0:
+                open_.pop(n)
             continue
         if tag in SPACE:
             text.append(" ")
         if tag in BLOCKS:
             end()
-            if "p" in tags and tag not in ("button", "option"):
-                pop(len(tags) - 1 - tags[::-1].index("p"))
+            if tag not in ("button", "option") and (n := open_.last("p")) >= 0:
+                open_.pop(n)
             if tag in ENDS:
                 group, holders = ENDS[tag]
-                for i in range(len(tags) - 1, -1, -1):
-                    if tags[i] in holders.split():
-                        break
-                    if tags[i] in group.split():
-                        pop(i)
-                        break
-        if tag in SILENT and not m[3].endswith("/"):
+                if (n := open_.last(*group)) > open_.last(*holders):
+                    open_.pop(n)
+        if tag in SILENT and not m[3].endswith("/") and tag not in unclosed:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if close:
                 at = close.end()
-            elif tag not in ("head", "title"):
+                continue
+            if tag in RAW:
                 at = len(page)
-            continue
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        tags.append(tag)
-        names.append(_names(m[3]))
-        links += tag == "a"
+                continue
+            # Nothing further on closes it: it is an element like others, and no further one of its kind is searched for.
+            unclosed.add(tag)
+        if tag not in VOID and not m[3].endswith("/"):
+            open_.push(tag, _names(m[3]))
     if at < len(page):
         text.append(page[at:])
     end()
     return out
 
 
-def features(block: Block) -> list[str]:
+def own_features(block: Block) -> list[str]:
+    """What a block's text and its innermost block element say."""
     text, words = block.text, block.text.count(" ") + 1
     out = ["bias", f"words{min(6, words.bit_length())}", f"links{round(4 * min(1.0, block.linked / max(1, len(text))))}"]
     out.append("stop" if text[-1] in ".!?…:;\"»”)" else "open")
@@ -122,17 +152,46 @@ def features(block: Block) -> list[str]:
         out.append("commas")
     if "©" in text or "copyright" in text.lower()[:200]:
         out.append("rights")
-    inner = [t for t in block.tags if t in BLOCKS]
-    if inner:
-        out.append(f"tag:{inner[-1]}")
-    out += {f"in:{t}" for t in block.tags if t not in ("html", "body", "div")}
-    out += {f"name:{n}" for own in block.names for n in own}
-    if any(t in ("article", "main") for t in block.tags):
-        last = max(i for i, t in enumerate(block.tags) if t in ("article", "main"))
-        out += {f"within:{t}" for t in block.tags[last + 1 :] if t in BLOCKS}
     return out
 
 
+class Paths:
+    """The features that ancestors give, found once for each element and shared with what lies inside it.
+
+    known maps a feature to what stands for it, or to None if the model doesn't have it; so an element's set has at most
+    the model's features, and is its parent's own set where it adds none.
+    """
+
+    def __init__(self, known: Callable[[str], object]):
+        self.known = known
+        self.each: dict[Element | None, tuple[object, frozenset, frozenset | None]] = {None: (None, frozenset(), None)}
+
+    def __call__(self, element: Element | None) -> frozenset:
+        path = []
+        while element not in self.each:
+            path.append(element)
+            element = element.parent
+        tag, inside, within = self.each[element]
+        for e in reversed(path):
+            new = [f"name:{n}" for n in e.names]
+            if e.tag not in ("html", "body", "div"):
+                new.append(f"in:{e.tag}")
+            inside = self._with(inside, new)
+            if e.tag in BLOCKS:
+                tag = f"tag:{e.tag}"
+                if within is not None:
+                    within = self._with(within, [f"within:{e.tag}"])
+            if e.tag in ("article", "main"):
+                within = frozenset()
+            self.each[e] = tag, inside, within
+        last = {self.known(tag)} - {None} if tag else set()
+        return inside | last | (within or frozenset())
+
+    def _with(self, have: frozenset, new: list[str]) -> frozenset:
+        more = {k for f in new if (k := self.known(f)) is not None} - have
+        return have | more if more else have
+
+
 #: Names of the parts of pages, as sites write them.
 PARTS = {
     "menu": "nav menu navbar navigation topnav mainmenu breadcrumb breadcrumbs pagination toc links",
@@ -275,9 +334,12 @@ class Field:
 
     def scores(self, page: list[Block]) -> np.ndarray:
         out = np.zeros((len(page), 2))
+        paths, above = Paths(self.names.get), {}
         for i, b in enumerate(page):
-            known = [k for f in features(b) if (k := self.names.get(f)) is not None]
-            out[i] = self.weights[known].sum(axis=0)
+            if b.element not in above:
+                above[b.element] = self.weights[sorted(paths(b.element))].sum(axis=0)
+            own = [k for f in own_features(b) if (k := self.names.get(f)) is not None]
+            out[i] = above[b.element] + self.weights[own].sum(axis=0)
         return out
 
     def decode(self, page: list[Block]) -> list[int]:
@@ -313,7 +375,10 @@ def labelled(pages: Iterator[tuple[str, list[str]]]) -> list[tuple[list[Block],
 def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, ridge: float = 3e-4, least: int = 3) -> Field:
     """Maximum likelihood with a ridge by Adam steps; forward and backward sums run over all pages at once."""
     count: dict[str, int] = {}
-    each = [[features(b) for b in page] for page, _ in pages]
+    each = []
+    for page, _ in pages:
+        paths = Paths(lambda f: f)
+        each.append([own_features(b) + sorted(paths(b.element)) for b in page])
     for page in each:
         for f in page:
             for x in f:
