@@ -5,6 +5,10 @@ Shards of the reference are made instead so that all that can match lies in one
 SPAN words share one of the fingerprints that either text selects, and each fingerprint belongs to the shard of the
 first document that has it. Only words near shared fingerprints go there. A shard's documents are streamed
 against its automaton in the order of their ids, and what an automaton has not seen yet is then added to it.
+
+A passage that a large part of the corpus has makes a shard that no automaton can hold. Its runs are cut into their
+windows of SPAN words instead, whose 128-bit hashes find each window's first document by a partial aggregation: the work
+is in proportion to the words of the shard, and no task holds more than its rows.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from tessera.llm.common import Scratch
 
 #: Words of a span that counts as repeated, and of a fingerprint.
 SPAN, GRAM = 50, 20
-#: Words of one shard beyond which it is split; the parts then exchange their automata's contents.
-SHARD_WORDS = 200_000
+#: Words that one automaton takes; the windows of larger shards are compared by their hashes.
+SHARD_WORDS = 50_000
 BATCH = 256
 
 
@@ -146,7 +150,8 @@ def _fresh(n: int, seen: list[tuple[int, int]], span: int) -> list[tuple[int, in
 PRINTS = "fp long, doc_id long"
 PLACES = "fp long, doc_id long, at int"
 RUNS = "shard long, doc_id long, start int, n int, run binary"
-FOUND = "shard long, part int, doc_id long, start int, stop int, run binary"
+FOUND = "doc_id long, start int, stop int"
+WINDOWS = "h1 long, h2 long, doc_id long, at int"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -200,59 +205,67 @@ def _runs(span: int, gram: int):
     return run
 
 
-def _stream(span: int, own_parts: bool):
-    """Streams sorted runs (shard, part, doc_id, start, run) against the automaton of their shard and part.
-
-    Returns spans to remove, with start and stop in the document, and, if own_parts, what was added to an
-    automaton, with stop -1. Else rows of start -1 are such contents of the shard's other parts, which come first.
-    """
+def _stream(span: int):
+    """Streams sorted runs (shard, doc_id, start, run) against the automaton of their shard; returns spans of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = automaton = None
+        key, automaton = None, Automaton()
         waiting: list[tuple[int, list[bytes], list[tuple[int, int]]]] = []
         out: list[tuple] = []
-
-        def add() -> None:
-            """What a document brings is added once all of the document has been streamed."""
-            for doc_id, tokens, seen in waiting:
-                for a, b in _fresh(len(tokens), seen, span):
-                    automaton.add(tokens[a:b], doc_id)
-                    if own_parts:
-                        out.append((*key, doc_id, -1, -1, b" ".join(tokens[a:b])))
-            waiting.clear()
-
         for batch in batches:
-            for shard, part, doc_id, start, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (shard, part) != key:
-                    if automaton:
-                        add()
-                    key, automaton = (shard, part), Automaton()
+            for shard, doc_id, start, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if shard != key:
+                    key, automaton, waiting = shard, Automaton(), []
                 tokens = text.split(b" ")
-                if start < 0:
-                    automaton.add(tokens, doc_id)
-                    continue
                 if waiting and waiting[-1][0] != doc_id:
-                    add()
+                    # What a document brings is added once all of it has been streamed.
+                    for owner, own, seen in waiting:
+                        for a, b in _fresh(len(own), seen, span):
+                            automaton.add(own[a:b], owner)
+                    waiting = []
                 seen = automaton.matches(tokens, span, doc_id)
-                out += ((shard, part, doc_id, start + a, start + b, None) for a, b in seen)
-                if own_parts:
-                    waiting.append((doc_id, tokens, seen))
+                out += ((doc_id, start + a, start + b) for a, b in seen)
+                waiting.append((doc_id, tokens, seen))
             if len(out) > 1000:
                 yield _rows(out, FOUND)
                 out = []
-        if automaton:
-            add()
         yield _rows(out, FOUND)
 
     return run
 
 
-def _sorted(df: DataFrame) -> DataFrame:
-    return df.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("start") >= 0, "doc_id", "start").select("shard", "part", "doc_id", "start", "run")
+def window_hashes(runs: list[list[bytes]], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each window of span words inside a run: two independent 64-bit hashes, the number of its run, its place there."""
+    sizes = np.array([len(x) for x in runs])
+    flat = [t for x in runs for t in x]
+    m = max(0, len(flat) - span + 1)
+    run = np.repeat(np.arange(len(runs)), sizes)[:m]
+    place = np.arange(m) - np.repeat(np.cumsum(sizes) - sizes, sizes)[:m]
+    inside = place + span <= sizes[run]
+    hashes = []
+    for seed in (0, 1):
+        one = np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in flat), np.uint64, len(flat))
+        h = np.zeros(m, np.uint64)
+        for i in range(span):
+            h = _mix((h ^ one[i : i + m]) * np.uint64(0x9E3779B97F4A7C15))
+        hashes.append(h[inside].view(np.int64))
+    return hashes[0], hashes[1], run[inside], place[inside]
+
+
+def _windows(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                ids, starts, texts = batch.slice(lo, BATCH).columns
+                h1, h2, own, place = window_hashes([x.split(b" ") for x in texts.to_pylist()], span)
+                columns = (h1, h2, ids.to_numpy()[own], (starts.to_numpy()[own] + place).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_arrow(WINDOWS))
+
+    return run
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): the word ranges {a, b} of each document that are to go, sorted and disjoint.
+    """(doc_id, spans): the word ranges {a, b} of each document that are to go, sorted; they may overlap.
 
     A word goes if a run of span words covers it whose sequence also starts in a document of a smaller doc_id.
     """
@@ -266,17 +279,21 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram:
     runs = scratch.write(docs.join(own, "doc_id").select("doc_id", "text", "shared").mapInArrow(_runs(span, gram), RUNS))
     scratch.drop(places)
     scratch.drop(shared)
-    parts = runs.groupBy("shard").agg(F.ceil(F.sum("n") / SHARD_WORDS).cast("int").alias("parts"))
-    large = scratch.write(parts.where("parts > 1"))
-    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = runs.join(large, "shard", "left").withColumn("part", part)
-    first = scratch.write(_sorted(dealt).mapInArrow(_stream(span, True), FOUND))
-    removed = first.where("stop >= 0").join(large, "shard", "left_anti").select("doc_id", "start", "stop")
-    # The parts of a large shard see each other's contents, which hold every sequence once.
-    contents = first.where("stop < 0").join(large, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "start", "run")
-    again = dealt.where("parts > 1").select("shard", "part", "doc_id", "start", "run").unionByName(contents)
-    removed = removed.unionByName(_sorted(again).mapInArrow(_stream(span, False), FOUND).select("doc_id", "start", "stop"))
-    return removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    large = scratch.write(runs.groupBy("shard").agg(F.sum("n").alias("words")).where(F.col("words") > SHARD_WORDS).select("shard"))
+    small = runs.join(large, "shard", "left_anti").select("shard", "doc_id", "start", "run")
+    removed = small.repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(_stream(span), FOUND)
+    # The windows of large shards: their first documents are a table too, for the same reason as above.
+    windows = scratch.write(runs.join(large, "shard").select("doc_id", "start", "run").mapInArrow(_windows(span), WINDOWS))
+    first = scratch.write(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"))
+    later = windows.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.array_distinct(F.collect_list("at")).alias("at"))
+    # Windows that meet make one span, from a first to a last start.
+    at, gap = F.sort_array("at"), F.lit(span)
+    later = later.select("doc_id", at.alias("at"))
+    heads = F.filter("at", lambda x, i: (i == 0) | (x > F.get("at", i - 1) + gap))
+    tails = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) > x + gap))
+    spans = F.explode(F.zip_with(heads, tails, lambda x, y: F.struct(x.alias("start"), (y + gap).cast("int").alias("stop"))))
+    later = later.select("doc_id", spans.alias("s")).select("doc_id", "s.*")
+    return removed.unionByName(later).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def _cut(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -341,7 +358,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram
             out.append("".join(keep))
         return pd.Series(out, dtype=object)
 
-    spans = repeated_spans(spark, docs, span, gram).withColumnRenamed("spans", "_spans")
-    joined = docs.join(spans, "doc_id", "left")
-    text = F.when(F.col("_spans").isNotNull(), cut("text", "_spans")).otherwise(F.col("text"))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    # Rows stand as one column, so that no name of theirs can clash.
+    own = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    joined = own.join(repeated_spans(spark, docs, span, gram), "doc_id", "left")
+    text = F.when(F.col("spans").isNotNull(), cut("text", "spans")).otherwise(F.col("text"))
+    return joined.select("row", text.alias("text")).select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -45,7 +45,7 @@ def corpus(seed, n=120):
     return docs
 
 
-@pytest.mark.parametrize("seed, words", [(1, 200_000), (2, 60), (3, 200)])
+@pytest.mark.parametrize("seed, words", [(1, 200_000), (2, 60), (3, 200), (4, 0)])
 def test_as_brute_force(spark, monkeypatch, seed, words):
     monkeypatch.setattr(substrings, "SHARD_WORDS", words)
     docs = corpus(seed)
@@ -58,6 +58,24 @@ def test_as_brute_force(spark, monkeypatch, seed, words):
         assert hashlib.sha256(" ".join((t or "").split()).encode()).hexdigest() == sha[i]
 
 
+def test_a_passage_of_20000_documents(spark):
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(70)]
+    docs = [(i, " ".join([*(f"a{i}-{k}" for k in range(r.randint(0, 30))), *passage, *(f"b{i}-{k}" for k in range(20))])) for i in range(20_000)]
+    df = spark.createDataFrame([(*d, "en", "s", 1) for d in docs], SCHEMA).repartition(16)
+    got = substrings.digest(spark, df).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(i, 70 if i else 0) for i in range(20_000)]
+
+
+def test_clashing_names(spark):
+    docs = corpus(6, 40)
+    rows = [(*d, "en", i, None, 3) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, spans long, _spans string, row int")
+    out = substrings.without_repeats(spark, df, span=12, gram=5)
+    assert out.columns == df.columns and out.count() == len(rows)
+    assert sorted((r.spans, r._spans, r.row) for r in out.collect()) == [(i, None, 3) for i in range(len(rows))]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert substrings.digest(spark, df).count() == 0
