@@ -12,8 +12,8 @@ from tessera.llm.common import BLANK, Scratch
 
 #: The entropy of the weights as a part of the most that the sources allow, and how often a source may be repeated.
 ENTROPY, REPEATS = 0.9, 4.0
-#: The exponent is a multiple of 1 / GRID; each round of the search tries WAYS of them in one job.
-GRID, WAYS = 4096, 16
+#: The exponent lies between 0 and STEEPEST and is bisected to 1 / FINE; each job halves the range HALVINGS times.
+STEEPEST, FINE, HALVINGS = 4096.0, 1 << 20, 4
 #: A source's documents fall into 2^BITS blocks by their hash, in each of LEVELS levels.
 BITS, LEVELS = 10, 2
 SEED = 20_240_229
@@ -27,47 +27,56 @@ def tokens(text: Column) -> Column:
 
 
 def exponent(sources: DataFrame, budget: float, entropy: float = ENTROPY, repeats: float = REPEATS) -> float:
-    """The exponent a in [0, 1] of weights w ~ share^a, nearest to 1, whose entropy is at least entropy * log(sources).
+    """The exponent a of weights w ~ share^a whose entropy is entropy * log(sources): under 1 it evens shares out, over 1 it sharpens them.
 
-    If that would repeat a source more than repeats times, a is raised until it doesn't. Both fall with a, so a
-    search on the grid finds them; each round evaluates WAYS exponents in one aggregation of the sources, which need not fit the driver.
+    The entropy falls with a, so it is bisected, from both sides of 1 alike. Where no exponent has it (equal sources, or
+    a target under that of the largest sources alone) a is 1. If a source were repeated more than repeats times, a is moved
+    toward 1 until none is; if even 1 repeats them more, as the budget is too large, a is 1. An aggregation of the sources, which
+    need not fit the driver, measures several exponents at once. The result is within 1 / FINE of the exact one.
     """
-    total, least, n = sources.agg(F.sum("tokens"), F.min("tokens"), F.count("*")).first()
-    if not n or n == 1:
+    total, least, most, n = sources.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens"), F.count("*")).first()
+    if not n or least == most:
         return 1.0
-
-    def measures(grid: list[int]) -> dict[int, tuple[float, float]]:
-        """Entropy and largest repetition for each exponent of the grid."""
-        parts = []
-        for a in grid:
-            w = F.pow(F.col("tokens") / float(total), F.lit(a / GRID))
-            parts += [F.sum(w).alias(f"z{a}"), F.sum(w * F.log(w)).alias(f"h{a}")]
-        r = sources.agg(*parts).first()
-        out = {}
-        for a in grid:
-            z, h = r[f"z{a}"], r[f"h{a}"]
-            smallest = (least / total) ** (a / GRID) / z
-            out[a] = (math.log(z) - h / z, budget * smallest / least)
-        return out
-
-    def largest(good) -> int:
-        """The largest exponent of the grid that is good, all smaller ones being good too; -1 if none is."""
-        low, high = -1, GRID + 1
-        while high - low > 1:
-            step = max(1, (high - low) // WAYS)
-            grid = list(range(low + step, high, step))
-            found = measures(grid)
-            for a in grid:
-                if good(*found[a]):
+    known: dict[float, tuple[float, float]] = {}
+
+    def measure(exponents: list[float]) -> None:
+        """Entropy and largest repetition for each; shares are taken of the largest source, so nothing overflows."""
+        parts, new = [], [a for a in exponents if a not in known]
+        for i, a in enumerate(new):
+            log = F.lit(a) * F.log(F.col("tokens") / float(most))
+            parts += [F.sum(F.exp(log)).alias(f"z{i}"), F.sum(F.exp(log) * log).alias(f"h{i}")]
+        r = sources.agg(*parts).first() if new else None
+        for i, a in enumerate(new):
+            z, h = r[f"z{i}"], r[f"h{i}"]
+            # w / tokens is largest for the smallest source if a < 1 and for the largest one if a > 1.
+            largest = max(1.0 / (z * most), math.exp(a * math.log(least / most)) / (z * least))
+            known[a] = (math.log(z) - h / z, budget * largest)
+
+    def bisect(low: float, high: float, above) -> float:
+        """Where above() turns from true to false between low and high."""
+        while high - low > 1 / FINE:
+            step = (high - low) / (1 << HALVINGS)
+            tried = [low + step * i for i in range(1, 1 << HALVINGS)]
+            measure(tried)
+            for a in tried:
+                if above(*known[a]):
                     low = a
                 else:
                     high = a
                     break
-        return low
+        return (low + high) / 2
 
-    flat = max(0, largest(lambda h, _: h >= entropy * math.log(n) - 1e-9))
-    often = largest(lambda _, r: r > repeats + 1e-9) + 1
-    return min(GRID, max(flat, often)) / GRID
+    target = entropy * math.log(n)
+    measure([0.0, 1.0, STEEPEST])
+    if not known[STEEPEST][0] <= target <= known[0.0][0]:
+        return 1.0
+    a = bisect(0.0, STEEPEST, lambda h, _: h > target)
+    measure([a])
+    if known[a][1] > repeats and known[1.0][1] <= repeats:
+        a = bisect(a, 1.0, lambda _, r: r > repeats) if a < 1 else bisect(1.0, a, lambda _, r: r <= repeats)
+    elif known[a][1] > repeats:
+        a = 1.0
+    return a
 
 
 def _digit(level: int) -> Column:
@@ -96,11 +105,11 @@ def plan(spark: SparkSession, docs: DataFrame, entropy: float = ENTROPY, repeats
     scratch = Scratch(spark)
     hashed = scratch.write(_keyed(docs.select("doc_id", "text", "source")).drop("row"))
     sources = scratch.write(hashed.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
-    total = sources.agg(F.sum("tokens")).first()[0] or 0
+    total, most = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("tokens"), F.lit(1))).first()
     budget = float(total) if budget is None else float(budget)
     a = exponent(sources, budget, entropy, repeats)
-    z = sources.agg(F.sum(F.pow(F.col("tokens") / float(total or 1), F.lit(a)))).first()[0] or 1.0
-    weight = F.pow(F.col("tokens") / float(total or 1), F.lit(a)) / float(z)
+    powered = F.exp(F.lit(a) * F.log(F.col("tokens") / float(most)))
+    weight = powered / float(sources.agg(F.sum(powered)).first()[0] or 1.0)
     share = F.round(weight * budget).cast("long")
     sources = sources.select("source", "tokens", F.round(weight, 9).alias("weight"), share.alias("budget"))
     sources = scratch.write(sources.select("*", F.floor(F.col("budget") / F.col("tokens")).alias("epochs"), (F.col("budget") % F.col("tokens")).alias("left")))
@@ -143,18 +152,35 @@ def with_copies(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     return keyed.join(plan.select("source", *ends), "source", "left").withColumn("copies", copies.cast("int")).drop(*ends)
 
 
+def _dealt(keyed: DataFrame, plan_: DataFrame) -> DataFrame:
+    """keyed with a row for each time that a document comes, and the epoch, block and place in whose order they are read.
+
+    A block is permuted as one in each epoch: blocks of sources mix, and a document's copies are epochs apart.
+    """
+    dealt = with_copies(keyed, plan_).where("copies > 0")
+    each = dealt.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    block = F.xxhash64(F.lit(SEED), "epoch", F.shiftrightunsigned("hash", 64 - BITS))
+    return each.withColumns({"block": block, "place": F.xxhash64(F.lit(SEED), "epoch", "hash")})
+
+
 def schedule(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """One row for each time a document comes: doc_id, source, tokens, epoch, block, place.
 
-    Reading in the order of epoch, block and place visits the blocks in an order that differs between epochs.
+    docs needs doc_id, text and source; other columns are not read. Reading in the order of epoch, block and place visits
+    the blocks in an order that differs between epochs. Null and empty texts have no tokens and come in every whole epoch, once
+    at least; a null source is a source; a null doc_id is an id like others; rows that repeat an id, source and number of tokens come as
+    often each; an empty table gives no rows.
     """
-    dealt = with_copies(_keyed(docs.select("doc_id", "text", "source")).drop("row"), plan(spark, docs, **how))
-    each = dealt.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    block = F.xxhash64(F.lit(SEED), "epoch", F.shiftrightunsigned("hash", 64 - BITS))
-    return each.select("doc_id", F.when(F.col("source") != "\0", F.col("source")).alias("source"), "tokens", "epoch", block.alias("block"), F.xxhash64(F.lit(SEED), "epoch", "hash").alias("place"))
+    dealt = _dealt(_keyed(docs.select("doc_id", "text", "source")).drop("row"), plan(spark, docs, **how))
+    return dealt.select("doc_id", F.when(F.col("source") != "\0", F.col("source")).alias("source"), "tokens", "epoch", "block", "place")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mixture has it, all columns kept."""
-    dealt = with_copies(_keyed(docs), plan(spark, docs, **how)).where("copies > 0")
-    return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """docs as the mixture has it: each row as often as schedule() says, all columns kept, in the order of epoch, block and place.
+
+    Rows are dealt to partitions by ranges of that order and sorted, so written files keep it. The cases are those of
+    schedule(); docs may have columns of any names.
+    """
+    dealt = _dealt(_keyed(docs), plan(spark, docs, **how))
+    order = ("epoch", "block", "place", "doc_id")
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")

@@ -70,6 +70,74 @@ def corpus(seed, n=600):
     return rows
 
 
+def by_bisection(size, entropy, repeats):
+    """The target weights of sources of these sizes for a budget of their sum."""
+    share = size / size.sum()
+
+    def of(a):
+        w = np.exp(a * np.log(share / share.max()))
+        w /= w.sum()
+        return w, -(w * np.log(w)).sum(), (w / share).max()
+
+    low, high = 0.0, 4096.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if of(mid)[1] > entropy * math.log(len(size)) else (low, mid)
+    if of(low)[2] > repeats:
+        good, bad = 1.0, low
+        for _ in range(100):
+            mid = (good + bad) / 2
+            good, bad = (mid, bad) if of(mid)[2] <= repeats else (good, mid)
+        low = good
+    return of(low)[0]
+
+
+@pytest.mark.parametrize("sizes, entropy, repeats", [([100, 90, 110, 95], 0.9, 4.0), ([100, 90, 110, 95], 0.9, 1.3), ([1000, 5, 30, 2], 0.9, 50.0), ([1000, 5, 30, 2], 0.9, 3.0), ([7, 7, 9], 0.99, 2.0)])
+def test_weights_meet_the_target_from_both_sides(spark, sizes, entropy, repeats):
+    rows = [(i, "w " * n, f"s{i}", 1, "h", 2) for i, n in enumerate(sizes)]
+    plan = {r.source: r.weight for r in mixing.plan(spark, spark.createDataFrame(rows, DOCS), entropy, repeats).collect()}
+    want = by_bisection(np.array(sizes), entropy, repeats)
+    assert np.abs(np.array([plan[f"s{i}"] for i in range(len(sizes))]) - want).max() < 1e-5
+    assert np.abs(want - np.array(sizes) / sum(sizes)).max() > 1e-3
+
+
+def test_schedule_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BITS", 3)
+    df = spark.createDataFrame(corpus(8), DOCS)
+    keyed = mixing._keyed(df.select("doc_id", "text", "source")).select("doc_id", "source", "tokens", "hash", mixing._key(0).alias("k0"), mixing._key(1).alias("k1")).collect()
+    want = collections.Counter()
+    size = collections.Counter()
+    for r in keyed:
+        size[r.source] += r.tokens
+    names = sorted(size)
+    for s, w in zip(names, by_bisection(np.array([size[s] for s in names]), 0.9, 3.0), strict=True):
+        epochs, left = divmod(round(w * sum(size.values())), size[s])
+        own = [r for r in keyed if r.source == s]
+        want.update({r.doc_id: epochs if r.tokens else max(1, epochs) for r in own})
+        for r in sorted((r for r in own if r.tokens), key=lambda r: (r.k0, r.k1, r.hash, r.doc_id)):
+            left -= r.tokens
+            if left < 0:
+                break
+            want[r.doc_id] += 1
+    got = mixing.schedule(spark, df, entropy=0.9, repeats=3.0).collect()
+    assert collections.Counter(r.doc_id for r in got) == +want
+    assert {r.epoch for r in got if r.doc_id == got[0].doc_id} == set(range(want[got[0].doc_id]))
+
+
+def test_the_registered_mixture_mixes(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shares = {r.source: r.tokens for r in mixing.plan(spark, docs).collect()}
+    plan = {r.source: r for r in mixing.plan(spark, docs).collect()}
+    total = sum(shares.values())
+    assert max(abs(plan[s].weight - shares[s] / total) for s in shares) > 0.01
+    out = mixing.mixed(spark, docs)
+    out.write.parquet(f"{tmp_path}/m")
+    read = [r.doc_id for r in spark.read.parquet(f"{tmp_path}/m").collect()]
+    order = [r.doc_id for r in mixing.schedule(spark, docs).orderBy("epoch", "block", "place", "doc_id").collect()]
+    assert collections.Counter(read) == collections.Counter(order) and len(set(order)) < len(order)
+    assert read == order
+
+
 def test_mixture(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BITS", 3)
     rows = corpus(1)
@@ -81,23 +149,7 @@ def test_mixture(spark, monkeypatch):
     total = sum(size.values())
     weights = np.array([plan[s].weight for s in size])
     assert abs(weights.sum() - 1) < 1e-6
-    # The exponent by bisection.
-    share = np.array([size[s] / total for s in size])
-
-    def of(a):
-        w = share**a / (share**a).sum()
-        return w, -(w * np.log(w)).sum(), (w * total / (share * total)).max()
-
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (low, mid) if of(mid)[1] < 0.9 * math.log(len(size)) else (mid, high)
-    a = low
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if of(mid)[2] > 3 else (low, mid)
-    assert np.abs(weights - of(max(a, high))[0]).max() < 2e-3
+    assert np.abs(weights - by_bisection(np.array([size[s] for s in size]), 0.9, 3.0)).max() < 1e-6
     out = mixing.mixed(spark, df, entropy=0.9, repeats=3.0)
     assert out.columns == df.columns
     got = out.collect()
