@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -39,12 +40,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Written tables that cut lineage: a lost executor costs the tasks it ran, not the whole history."""
+    """Written tables that cut lineage: a lost executor costs the tasks it ran, not the whole history.
+
+    Tables that a returned plan reads stay in the shared folder as long as the session does; its end removes them.
+    """
 
     def __init__(self, spark: SparkSession):
         small_batches(spark)
         self.spark, self.top = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.made = 0
+        atexit.register(self.remove)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{self.made}"
@@ -54,6 +59,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def remove(self) -> None:
+        """Deletes all tables. A session that has ended before leaves them to the folder's owner."""
+        context = self.spark.sparkContext
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of write() that no later plan reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
@@ -64,9 +76,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for every node of an edge.
 
     root is the smallest node. Large-star and small-star steps alternate until the edges no longer change,
-    in about log(n)^2 rounds; each round is two partial aggregations and two joins, written to the shared
-    folder. A hub is one row on the aggregated side of each join. Its edges still meet in one task there, as Spark
-    doesn't split a shuffle that also feeds an aggregation.
+    in O(log(n)^2) rounds; each round is two partial aggregations and two joins, written to the shared
+    folder. What the large-star joins with is a table, so that Spark can split a hub's edges there (it can't split a shuffle that
+    also feeds an aggregation); after it a node has only smaller neighbours, of which a hub's spokes have one each.
     Null ends and loops are ignored; no edges give no rows.
     """
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
@@ -78,10 +90,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        hub = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.join(hub, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         old, e = e, scratch.write(small.distinct())
         scratch.drop(old)
+        scratch.drop(hub)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -3,7 +3,8 @@
 Exact copies are counted first and stand as one. The bands of each distinct text are shuffled by their hashes;
 texts that share a bucket are compared in tasks of at most two blocks, each task once for all the bands in which its
 members meet, and each pair in one task only. A task returns a count of links for each member and edges that
-join its members, never its pairs.
+join its members, never its pairs. As every link of different texts counts, a group of n different near copies takes n^2
+comparisons; in blocks of BLOCK, each set is sent n / BLOCK times.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from tessera.llm.common import Scratch, components
 GRAM, THRESHOLD = 5, 0.8
 #: The chance with which a pair at the threshold itself shares a band.
 RECALL = 0.9995
-#: Mean members of a block; larger buckets have several.
-BLOCK = 128
+#: Mean members of a block, and their n-grams in all; larger buckets have several blocks.
+BLOCK, BLOCK_GRAMS = 512, 1_000_000
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 63) -> tuple[int, int]:
@@ -72,22 +73,30 @@ def band_hashes(grams_: np.ndarray, bands: int, rows: int, constants: tuple[np.n
     return out.view(np.int64)
 
 
+def _key(text: str | None) -> bytes:
+    """What texts of the same words in the same order share."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").lower().encode("utf-8", "surrogatepass").split()))
+
+
 def _signatures(gram: int, bands: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     constants = _constants(bands * rows)
     for batch in batches:
-        ids, keys, found = batch.column(0), [], []
+        keys, sizes, found = [], [], []
         for text in batch.column(1).to_pylist():
             g = grams(text, gram)
-            tokens = b" ".join((text or "").lower().encode("utf-8", "surrogatepass").split())
-            keys.append(xxhash.xxh3_128_digest(tokens) if len(g) else None)
+            keys.append(_key(text) if len(g) else None)
+            sizes.append(len(g))
             found.append(band_hashes(g, bands, rows, constants) if len(g) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "n_grams", "bands"])
 
 
 def _sets(gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of rows whose text is the one that key stands for."""
     for batch in batches:
-        sets = pa.array([grams(t, gram).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("bands"), sets], names=["rep", "copies", "bands", "grams"])
+        texts = batch.column("text").to_pylist()
+        own = batch.filter(pa.array([_key(t) == k for t, k in zip(texts, batch.column("key").to_pylist(), strict=True)], pa.bool_()))
+        sets = pa.array([grams(t, gram).tobytes() for t in own.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("rep", "copies", "bands")), sets], names=["rep", "copies", "bands", "grams"])
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -134,8 +143,8 @@ def _compare(threshold: float, rows: list[tuple]) -> list[tuple[int, int, int]]:
         return x
 
     for i, j in np.argwhere(links).tolist():
-        first = int(np.argmax(bands[0][i] == bands[1][j]))
-        if not mask >> first & 1:
+        met = np.flatnonzero(bands[0][i] == bands[1][j])
+        if not len(met) or not mask >> int(met[0]) & 1:
             continue
         x, y = left[i], right[j]
         count[x[1]] = count.get(x[1], 0) + y[2]
@@ -146,15 +155,18 @@ def _compare(threshold: float, rows: list[tuple]) -> list[tuple[int, int, int]]:
 
 
 def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, side, rep, copies, bands, mask, grams) sorted by task."""
-    key, held, out = None, [], []
+    """Rows (task, side, rep, copies, bands, mask, grams) sorted by task; rows that repeat a doc_id and its text count once."""
+    key, held, seen, out = None, [], set(), []
     for batch in batches:
         for task, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if task != key:
                 if len(held) > 1:
                     out += _compare(threshold, held)
-                key, held = task, []
-            held.append(tuple(row))
+                key, held, seen = task, [], set()
+            name = (row[0], row[1], hash(row[5]))
+            if name not in seen:
+                seen.add(name)
+                held.append(tuple(row))
         if len(out) > 1000:
             yield _links(out)
             out = []
@@ -174,17 +186,19 @@ def classes(spark: SparkSession, docs: DataFrame, gram: int = GRAM, threshold: f
     their sets of n-grams of lower-cased words is at least threshold (a text of fewer words is one n-gram). class_id
     is the smallest doc_id of those joined by links; n_links counts the other documents that are linked to one,
     copies included. Null and empty texts have no n-grams: they are alone, without links. A null doc_id takes no
-    part and gets a null class and no links. Rows that repeat a doc_id are counted as copies where their texts agree.
+    part and gets a null class and no links. Rows that repeat a doc_id are counted as copies where their texts agree; where
+    they don't, each row has the class of its own text.
     """
     scratch = Scratch(spark)
     bands, rows = bands_and_rows(threshold, recall)
     known = docs.where("doc_id IS NOT NULL")
-    signed = scratch.write(known.select("doc_id", "text").mapInArrow(partial(_signatures, gram, bands, rows), "doc_id long, key binary, bands array<long>"))
-    texts = scratch.write(signed.where("key IS NOT NULL").groupBy("key", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    signed = scratch.write(known.select("doc_id", "text").mapInArrow(partial(_signatures, gram, bands, rows), "doc_id long, key binary, n_grams int, bands array<long>"))
+    texts = scratch.write(signed.where("key IS NOT NULL").groupBy("key", "n_grams", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
 
     # Buckets of two texts or more, dealt to blocks; their members as sorted lists.
-    placed = texts.select("rep", F.posexplode("bands").alias("band", "hash"))
-    often = placed.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = texts.select("rep", "n_grams", F.posexplode("bands").alias("band", "hash"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    often = placed.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams")).where("n > 1").select("band", "hash", blocks.alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     members = placed.join(often, ["band", "hash"]).groupBy("band", "hash", "blocks", block.alias("block")).agg(F.sort_array(F.collect_list("rep")).alias("reps"))
     # Each two blocks of a bucket meet: a block goes to the tasks of its row and column.
@@ -198,7 +212,7 @@ def classes(spark: SparkSession, docs: DataFrame, gram: int = GRAM, threshold: f
     task = F.struct(F.xxhash64("left", "right"), F.xxhash64("right", F.lit(1), "left"))
     asked = scratch.write(tasks.select(task.alias("task"), "mask", F.explode(sides).alias("m")).select(F.expr("concat(hex(task.col1), hex(task.col2))").alias("task"), "mask", "m.side", "m.rep"))
 
-    wanted = texts.join(asked.select("rep").distinct(), "rep").select("rep", "copies", "bands")
+    wanted = texts.join(asked.select("rep").distinct(), "rep").select("rep", "key", "copies", "bands")
     sets = known.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").mapInArrow(partial(_sets, gram), "rep long, copies long, bands array<long>, grams binary")
     rows_ = asked.join(sets, "rep").select("task", "side", "rep", "copies", "bands", "mask", "grams")
     found = scratch.write(rows_.repartition("task").sortWithinPartitions("task").mapInArrow(partial(_verify, threshold), "rep long, links long, low long"))
@@ -212,6 +226,17 @@ def classes(spark: SparkSession, docs: DataFrame, gram: int = GRAM, threshold: f
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without those whose class has a document of a smaller doc_id. All columns stay; a null doc_id stays."""
-    gone = classes(spark, docs).where("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class, that of the smallest doc_id; of rows that repeat it and its text, the first by a hash of all columns.
+
+    All columns stay, whatever their names, and so do all rows of a null doc_id. Where rows of one doc_id differ in text, each of
+    the texts stays if that doc_id is the smallest of a class. An empty table stays empty.
+    """
+    scratch = Scratch(spark)
+    each = classes(spark, docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("class_id") == F.col("doc_id")).alias("first"))
+    kept = scratch.write(each.where("first").select("doc_id", "rows"))
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    once = rows.join(kept.where(F.col("rows") == 1), "doc_id", "left_semi").select("row")
+    # Only ids of several rows are gathered: a smaller hash goes first, and rows of equal hashes are as good as equal.
+    several = rows.join(kept.where(F.col("rows") > 1), "doc_id", "left_semi")
+    first = several.groupBy("doc_id", "text").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return once.unionByName(first).select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -91,5 +91,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str,
     own = with_parts(pages.select("page_id", "url")).select("page_id", "host", "path", F.col("key").alias("_key"))
     name, verdict = rule(h, p, rules)
     own = own.select("*", name.alias("rule"), verdict.alias("_own"))
+    # Pages without a name have no aliases: they don't meet in the join, where they would all be one key.
+    named, rest = own.where("_key IS NOT NULL"), own.where("_key IS NULL")
+    both = named.join(by_name, "_key", "left").unionByName(rest, allowMissingColumns=True)
     judged = F.coalesce("_own", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block"), F.lit("allow"))
-    return own.join(by_name, "_key", "left").select("page_id", "host", "path", "rule", judged.alias("verdict"), "alias_of")
+    return both.select("page_id", "host", "path", "rule", judged.alias("verdict"), "alias_of")

@@ -59,6 +59,27 @@ def test_as_brute_force(spark, monkeypatch, seed, block):
     assert kept == sorted({c for _, c, _ in got})
 
 
+def test_a_hot_bucket(spark):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join(w if r.random() > 0.003 else f"x{r.randint(0, 10**6)}" for w in base)) for i in range(1500)]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_join.classes(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    want = {d: (c, n) for d, c, n in brute(docs)}
+    assert {d: c for d, (c, _) in got.items()} == {d: c for d, (c, _) in want.items()}
+    # MinHash may miss a pair at the threshold in 2000; the join links no pair that isn't one.
+    assert all(want[d][1] * 0.995 <= n <= want[d][1] for d, (_, n) in got.items())
+
+
+def test_repeated_rows_and_ids(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "z"), (3, b, "x"), (3, a, "x"), (4, b, "q"), (None, a, "n"), (None, a, "n"), (5, "", "e"), (5, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = sorted(map(tuple, ngram_join.one_of_each(spark, df).collect()), key=str)
+    # 3 is the first of those with the other text; nulls take no part.
+    assert [x[0] for x in kept] == [1, 3, 3, 5, None, None] and kept[0][1] == a and kept[0][2] in "xy"
+    assert ngram_join.one_of_each(spark, df.limit(0)).count() == 0
+
+
 def test_empty_and_null_ids(spark):
     assert ngram_join.classes(spark, spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, "a b c d e", "", ""), (3, "a b c d e", "", "")], SCHEMA)
