@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import small_batches
 
-#: The bounds of a language's dictionary: documents, the first ones by a hash, characters of each, bytes in all.
-DOCS, CHARS, BYTES = 96, 4_000, 112_640
+#: The bounds of the fit: languages, the most frequent ones; documents of each, the first ones by a hash; characters
+#: of a document, as passages from places all over it; bytes of a dictionary.
+LANGUAGES, DOCS, CHARS, PASSAGE, BYTES = 512, 192, 4_000, 500, 112_640
 #: Greedy matches of 4 bytes or more: short ones tell languages apart.
 LEVEL, MATCH = 3, 4
 #: Bytes compressed at a time, at most: a text's own history must not take the place of the dictionary.
@@ -38,18 +39,32 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def passages(text: Column) -> Column:
+    """A text of CHARS characters at most, or as many in passages of PASSAGE characters that lie evenly over it."""
+    n = CHARS // PASSAGE
+    step = (F.length(text) - PASSAGE) / float(n - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(PASSAGE)))
+    return F.when(F.length(text) <= CHARS, text).otherwise(F.array_join(parts, " "))
+
+
 def fit(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """(language, raw content) of each language of docs (doc_id, text, lang), languages with more documents first."""
-    known = docs.where("lang IS NOT NULL AND length(text) >= 20")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = known.select("doc_id", "lang", F.xxhash64("text").alias("_t")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS)
-    # DOCS rows of CHARS characters for each language.
-    rows = known.select("doc_id", "lang", F.xxhash64("text").alias("_t"), F.substring("text", 1, CHARS).alias("text")).join(first.dropDuplicates(["doc_id", "lang", "_t"]), ["doc_id", "lang", "_t"]).orderBy("lang", F.desc("rank"), "text").select("lang", "text").collect()
-    texts = defaultdict(list)
+    """(language, raw content) of each language of docs (doc_id, text, lang), languages with more documents first.
+
+    Every labelled text with a letter can be chosen, however short. Only LANGUAGES * DOCS keys and their passages leave the executors.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    often = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    keys = known.where(F.col("lang").isin(list(often))).select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("_h"))
+    first = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS).dropDuplicates(["lang", "doc_id", "_h"])
+    # At most DOCS keys for each language: the texts that they are of are found without a shuffle.
+    texts = known.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("_h"), passages(F.col("text")).alias("text"))
+    rows = texts.join(F.broadcast(first), (texts.lang == first.lang) & texts.doc_id.eqNullSafe(first.doc_id) & (texts._h == first._h)).select(texts.lang, "rank", "text").distinct().orderBy("lang", F.desc("rank"), "text").collect()
+    found = defaultdict(list)
     for r in rows:
-        texts[r.lang].append(r.text)
-    often = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    return [(lang, plain(" ".join(dict.fromkeys(texts[lang])))[-BYTES:]) for lang in sorted(texts, key=lambda x: (-often[x], x))]
+        found[r.lang].append(r.text)
+    # A dictionary's end is nearest to the text: what is cut off is of the last ranks.
+    return [(lang, plain(" ".join(dict.fromkeys(found[lang])))[-BYTES:]) for lang in sorted(found, key=lambda x: (-often[x], x))]
 
 
 def predict(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
@@ -92,7 +107,8 @@ def languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred, score, rejected.
 
     docs needs doc_id, text and lang; other columns are not read. Documents whose crc32(doc_id as text) mod 5 is 0 are held
-    out of the fit; a null doc_id is not held out. An empty table gives an empty result.
+    out of the fit; a null doc_id is not held out. Repeated rows return as often and are one text to the fit. An empty table gives
+    an empty result.
     """
     parts = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     small_batches(spark)

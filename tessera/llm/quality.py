@@ -1,7 +1,9 @@
 """Quality rules: robust multivariate outliers, by DataFrame and SQL functions only.
 
 Statistics of each text are turned into a vector; a minimum-covariance-determinant estimate for each language
-and source gives its centre and scatter, and a document whose Mahalanobis distance is too large is rejected.
+and source gives its centre and scatter, and a document whose Mahalanobis distance is too large is rejected. The
+estimate is searched from several starts: each is concentrated on the nearest part of its group until that no longer
+changes, and of all covering parts so found the one whose scatter has the least determinant is taken.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from tessera.llm.common import BLANK, Scratch
 SYMBOLS = "#*$%&|<>"
 #: Vectors are held as whole numbers of 1 / SCALE, so all sums are exact and do not depend on their order.
 SCALE = 256
-#: The part of a group that the estimate covers, the rounds that concentrate it, the size below which groups are pooled.
-COVER, ROUNDS, LEAST_GROUP = 0.75, 6, 64
+#: The part of a group that the estimate covers, and the size below which groups are pooled: 5 for each component.
+COVER, LEAST_GROUP = 0.75, 20
+#: Starts: medians, and STARTS - 1 elemental subsets of one row more than there are components, drawn by a hash. All are
+#: concentrated until none changes; a search that still changes after ROUNDS takes the best that it has seen.
+STARTS, ROUNDS = 4, 30
 #: Least standard deviation of each component: rarer values than the group ever shows are not outliers by themselves.
 FLOOR = (0.06, 0.05, 0.15, 0.15)
 #: Probability with which a normal vector is kept.
@@ -96,12 +101,71 @@ def _with_distance(df: DataFrame) -> DataFrame:
     return df.select(*keep, F.expr(total).alias("d2"))
 
 
+def _with_determinant(estimate: DataFrame) -> DataFrame:
+    """estimate with logdet, the logarithm of its scatter's determinant, from the diagonal of Cholesky's factor."""
+    keep = estimate.columns
+    for name, how in _distance()[0]:
+        if name[0] == "l":
+            estimate = estimate.withColumn(name, F.expr(how))
+    return estimate.select(*keep, F.round(sum((2 * F.log(f"l{i}{i}") for i in range(len(NAMES))), F.lit(0.0)), 9).alias("logdet"))
+
+
+P = len(NAMES)
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+
+
+def _sums() -> list[Column]:
+    return [F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i, j in PAIRS]
+
+
 def _estimates(sums: DataFrame, factor: float) -> DataFrame:
-    """Centre and scatter of each group from its exact sums, with the least deviations added."""
-    p = len(NAMES)
-    centre = [F.expr(f"s{i} / n / {SCALE}D").alias(f"m{i}") for i in range(p)]
-    scatter = [F.expr(f"greatest(s{i}{j} / n - (s{i} / n) * (s{j} / n), {'0D' if i == j else '-1e300D'}) / {SCALE * SCALE}D * {factor}D + {FLOOR[i] ** 2 if i == j else 0.0}D").alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
-    return sums.select("g1", "g2", *centre, *scatter)
+    """Centre and scatter of each group and start from its exact sums, with the least deviations added."""
+    centre = [F.expr(f"s{i} / n / {SCALE}D").alias(f"m{i}") for i in range(P)]
+    scatter = [F.expr(f"greatest(s{i}{j} / n - (s{i} / n) * (s{j} / n), {'0D' if i == j else '-1e300D'}) / {SCALE * SCALE}D * {factor}D + {FLOOR[i] ** 2 if i == j else 0.0}D").alias(f"c{i}{j}") for i, j in PAIRS]
+    return _with_determinant(sums.select("g1", "g2", "start", *centre, *scatter))
+
+
+def _starts(fit: DataFrame, scratch: Scratch) -> DataFrame:
+    """The first estimates of each group: medians with deviations from them, and elemental subsets."""
+    mid = scratch.write(fit.groupBy("g1", "g2").agg(*(F.percentile(x, F.lit(0.5)).alias(f"q{i}") for i, x in enumerate(NAMES))))
+    spread = fit.join(mid, ["g1", "g2"]).groupBy("g1", "g2").agg(*(F.first(f"q{i}").alias(f"q{i}") for i in range(P)), *(F.percentile(F.abs(F.col(x) - F.col(f"q{i}")), F.lit(0.5)).alias(f"d{i}") for i, x in enumerate(NAMES)))
+    out = _with_determinant(spread.select("g1", "g2", F.lit(0).alias("start"), *(F.expr(f"q{i} / {SCALE}D").alias(f"m{i}") for i in range(P)), *(F.expr(f"pow(1.4826D * d{i} / {SCALE}D, 2) + {FLOOR[i] ** 2}D" if i == j else "0D").alias(f"c{i}{j}") for i, j in PAIRS)))
+    for start in range(1, STARTS):
+        drawn = Window.partitionBy("g1", "g2").orderBy(F.xxhash64(F.lit(start), "doc_id", *NAMES), "doc_id", *NAMES)
+        subset = fit.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= P + 1)
+        out = out.unionByName(_estimates(subset.groupBy("g1", "g2").agg(F.lit(start).alias("start"), F.count("*").alias("n"), *_sums()), 1.0))
+    return out
+
+
+def least_determinants(fit: DataFrame, scratch: Scratch) -> DataFrame:
+    """The estimate of each group (g1, g2) of fit (g1, g2, doc_id, x1..x4): m0..m3, c00..c33, logdet.
+
+    A step takes the COVER nearest vectors of a group by the last estimate, and their mean and covariance. The nearest are
+    found by counts and sums of BINS distances: a group of any size is never gathered.
+    """
+    factor = COVER / chi2_cdf(chi2_quantile(COVER, P), P + 2)
+    names = [f"s{i}" for i in range(P)] + [f"s{i}{j}" for i, j in PAIRS]
+    group = Window.partitionBy("g1", "g2", "start")
+    estimate, seen = scratch.write(_starts(fit, scratch)), []
+    for _ in range(ROUNDS):
+        near = _with_distance(fit.join(estimate.drop("logdet"), ["g1", "g2"])).withColumn("bin", F.least(F.floor(F.log1p("d2") * 256), F.lit(BINS - 1)).cast("int"))
+        bins = near.groupBy("g1", "g2", "start", "bin").agg(F.count("*").alias("n"), *_sums())
+        upto = bins.withColumn("below", F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))).withColumn("all", F.sum("n").over(group))
+        chosen = upto.where(F.coalesce("below", F.lit(0)) < F.ceil(F.col("all") * COVER))
+        now = scratch.write(_estimates(chosen.groupBy("g1", "g2", "start").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)), factor))
+        seen.append(now)
+        moved = now.alias("a").join(estimate.alias("b"), ["g1", "g2", "start"]).where(F.abs(F.col("a.logdet") - F.col("b.logdet")) > 1e-9)
+        # Searches that no longer move stop; those that have come to one place as another of their group would go the same way.
+        moving = moved.groupBy("g1", "g2", F.col("a.logdet").alias("logdet")).agg(F.min("start").alias("start"))
+        estimate = scratch.write(now.join(moving.drop("logdet"), ["g1", "g2", "start"], "left_semi"))
+        if estimate.isEmpty():
+            break
+    every = seen[0]
+    for x in seen[1:]:
+        every = every.unionByName(x)
+    columns = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in PAIRS] + ["logdet"]
+    best = every.groupBy("g1", "g2").agg(F.min(F.struct("logdet", "start", *(c for c in columns if c != "logdet"))).alias("b"))
+    return scratch.write(best.select("g1", "g2", *(F.col(f"b.{c}").alias(c) for c in columns)))
 
 
 def outliers(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -113,8 +177,8 @@ def outliers(spark: SparkSession, docs: DataFrame) -> DataFrame:
     group; groups under LEAST_GROUP are pooled by language, then all together. kept is false beyond the
     distance that KEEP of normal vectors stay within. Repeated rows count as often as they occur and each returns a row.
     Empty and null texts fail the base rules; an empty table gives an empty result. The estimates read only a
-    table of four whole numbers for each document, of which every round makes counts and sums by group and
-    by one of BINS distances: a group of any size is never gathered in one place.
+    table of four whole numbers for each document, of which every round makes counts and sums by group, start and
+    one of BINS distances: a group of any size is never gathered in one place.
     """
     scratch = Scratch(spark)
     stats = text_statistics(docs.select("doc_id", "text", F.coalesce("lang", F.lit("\0")).alias("g1"), F.coalesce("source", F.lit("\0")).alias("g2"))).drop("text")
@@ -122,31 +186,15 @@ def outliers(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stats = scratch.write(stats.withColumn("base_failed", failed).select("*", *_vector()))
     fit = stats.where(~F.col("base_failed"))
 
-    # Small groups are pooled, first by language, then all together.
+    # Small groups are pooled, first by language, then all together. As each document falls in exactly one pool, none is left out.
     pools = scratch.write(fit.groupBy("g1", "g2").count())
     first = pools.select("g1", "g2", "count", F.when(F.col("count") >= LEAST_GROUP, F.col("g2")).otherwise(POOL).alias("h2"))
     second = first.groupBy("g1", "h2").agg(F.sum("count").alias("n")).select("g1", "h2", F.when((F.col("n") >= LEAST_GROUP) | (F.col("h2") != POOL), F.col("g1")).otherwise(POOL).alias("h1"))
     groups = scratch.write(first.join(second, ["g1", "h2"]).select("g1", "g2", "h1", "h2"))
     fit = scratch.write(fit.join(groups, ["g1", "g2"]).select("doc_id", F.col("h1").alias("g1"), F.col("h2").alias("g2"), *NAMES))
 
-    # The start: medians, and deviations from them.
-    p = len(NAMES)
-    mid = scratch.write(fit.groupBy("g1", "g2").agg(*(F.percentile(x, F.lit(0.5)).alias(f"q{i}") for i, x in enumerate(NAMES))))
-    spread = fit.join(mid, ["g1", "g2"]).groupBy("g1", "g2").agg(*(F.first(f"q{i}").alias(f"q{i}") for i in range(p)), *(F.percentile(F.abs(F.col(x) - F.col(f"q{i}")), F.lit(0.5)).alias(f"d{i}") for i, x in enumerate(NAMES)))
-    estimate = scratch.write(spread.select("g1", "g2", *(F.expr(f"q{i} / {SCALE}D").alias(f"m{i}") for i in range(p)), *(F.expr(f"pow(1.4826D * d{i} / {SCALE}D, 2) + {FLOOR[i] ** 2}D" if i == j else "0D").alias(f"c{i}{j}") for i in range(p) for j in range(i, p))))
-
-    factor = COVER / chi2_cdf(chi2_quantile(COVER, p), p + 2)
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i, p)]
-    names = [f"s{i}" for i in range(p)] + [f"s{i}{j}" for i in range(p) for j in range(i, p)]
-    for _ in range(ROUNDS):
-        near = _with_distance(fit.join(estimate, ["g1", "g2"])).withColumn("bin", F.least(F.floor(F.log1p("d2") * 256), F.lit(BINS - 1)).cast("int"))
-        bins = near.groupBy("g1", "g2", "bin").agg(F.count("*").alias("n"), *sums)
-        group = Window.partitionBy("g1", "g2")
-        upto = bins.withColumn("below", F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))).withColumn("all", F.sum("n").over(group))
-        chosen = upto.where(F.coalesce("below", F.lit(0)) < F.ceil(F.col("all") * COVER))
-        estimate = scratch.write(_estimates(chosen.groupBy("g1", "g2").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)), factor))
-
-    far = groups.join(estimate.withColumnsRenamed({"g1": "h1", "g2": "h2"}), ["h1", "h2"]).drop("h1", "h2")
+    estimate = least_determinants(fit, scratch)
+    far = groups.join(estimate.drop("logdet").withColumnsRenamed({"g1": "h1", "g2": "h2"}), ["h1", "h2"]).drop("h1", "h2")
     judged = _with_distance(stats.join(far, ["g1", "g2"], "left"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(KEEP, p), F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(KEEP, P), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.round("d2", 6)).alias("distance2"))
