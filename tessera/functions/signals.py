@@ -24,13 +24,15 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def minutes(hhmm: Column) -> Column:
-    return F.split(hhmm, ":")[0].cast("int") * 60 + F.split(hhmm, ":")[1].cast("int")
+    """Of the day; null for what is no time."""
+    part = lambda i: F.get(F.split(hhmm, ":"), F.lit(i)).try_cast("int")
+    return part(0) * 60 + part(1)
 
 
 def is_open(hours: Column, at: Column) -> Column:
     """null for hours that can't be read; both bounds are open; hours may go past midnight."""
     fits = hours.rlike("^\\d{1,2}:\\d{2}-\\d{1,2}:\\d{2}$")
-    start, end = minutes(F.split(hours, "-")[0]), minutes(F.split(hours, "-")[1])
+    start, end = (minutes(F.get(F.split(hours, "-"), F.lit(i))) for i in (0, 1))
     inside = F.when(end < start, (at >= start) | (at <= end)).otherwise(at.between(start, end))
     return F.when(F.trim(hours) == "24/7", F.lit(True)).when(fits, inside)
 

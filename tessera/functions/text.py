@@ -22,14 +22,18 @@ def _tables() -> tuple[str, str]:
     return src, dst
 
 
+#: The characters of folded words. As single characters, not ranges, the regular expression finds each by one look-up.
+KEPT = "abcdefghijklmnopqrstuvwxyz0123456789/"
+
+
 def strip_diacritics(c: Column) -> Column:
-    """Case stays."""
-    return F.regexp_replace(F.translate(c, *_tables()), "\\p{Mn}+", "")
+    """Case stays. Texts of ASCII alone are left as they are."""
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(c, *_tables()), "\\p{Mn}+", "")).otherwise(c)
 
 
 def fold(c: Column) -> Column:
     """Lower-cased words of a-z, 0-9 and / without diacritics, one space between them."""
-    return F.trim(F.regexp_replace(F.lower(strip_diacritics(c)), "[^a-z0-9/]+", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_diacritics(c)), f"[^{KEPT}]+", " "))
 
 
 def py_fold(s: str) -> str:
@@ -90,6 +94,50 @@ def compatible_pattern(key: str) -> str:
     return " " + " ".join("".join(one(c) if c != "/" else "/" for c in w) for w in words) + " "
 
 
+def pattern(c: Column) -> Column:
+    """compatible_pattern() for a column of composed phrases, such as names that the data bring."""
+    words = F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}/]+", " "))
+    one = lambda x: F.when(strip_diacritics(x) != x, F.concat(F.lit("["), x, strip_diacritics(x), F.lit("]"))).otherwise(x)
+    return F.concat(F.lit(" "), F.array_join(F.transform(F.split(words, ""), one), ""), F.lit(" "))
+
+
+@functools.cache
+def _composed():
+    import unicodedata as u
+
+    @F.pandas_udf("string")
+    def nfc(texts):
+        return texts.map(lambda t: u.normalize("NFC", t), na_action="ignore")
+
+    return nfc
+
+
+def composed(c: Column) -> Column:
+    """Letters and the marks after them as one character each; for queries, which are the small side."""
+    return _composed()(c)
+
+
+def corrected_query(original: Column, value: Column) -> Column:
+    """struct(text, reason): a model's correction of a query, or why it is none.
+
+    White space is collapsed; empty ones, those over 200 characters, those that differ in case alone, and those that share no
+    folded word with the original are refused. null is no correction and no refusal.
+    """
+    clean = F.trim(F.regexp_replace(value, "\\s+", " "))
+    reason = F.when(clean == "", "empty").when(F.length(clean) > 200, "too-long").when(F.lower(clean) == F.lower(original), "no-op").when(~F.arrays_overlap(tokens(clean), tokens(original)), "no-overlap")
+    return F.struct(F.when(reason.isNull(), clean).alias("text"), F.when(value.isNotNull(), reason).alias("reason"))
+
+
+def redacted(c: Column, secret: str) -> Column:
+    """A message without a key that it may quote."""
+    return F.replace(c, F.lit(secret), F.lit("***")) if secret else c
+
+
+def safe_name(c: Column) -> Column:
+    """A model's name as part of a path."""
+    return F.translate(c, "/:", "__")
+
+
 def transposed(a: Column, b: Column) -> Column:
     """Whether b is a with two neighbouring, different characters swapped."""
     swapped = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))

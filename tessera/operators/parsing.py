@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.sources import vocabulary as V
+from tessera.sources.store import Store
 
 
 def phrases(spark: SparkSession) -> DataFrame:
-    """(kind, ord, phrase, key, pattern, value): all phrases of the vocabularies, some hundred rows."""
-    rows = [(kind, i, k, T.py_fold(k), T.compatible_pattern(k), v) for kind, table in (("category", V.CATEGORIES), ("need", V.NEEDS), ("attribute", V.ATTRIBUTES), ("price", V.PRICES), ("nearest", {"nearest": V.NEAREST})) for i, k, v in V.keys(table)]
-    return spark.createDataFrame(rows, "kind string, ord int, phrase string, key string, pattern string, value string")
-
-
-def landmarks(spark: SparkSession) -> DataFrame:
-    rows = [(i, n, T.py_fold(n), T.compatible_pattern(n), lat, lon) for i, (n, lat, lon) in enumerate(V.LANDMARKS)]
-    return spark.createDataFrame(rows, "ord int, name string, key string, pattern string, lat double, lon double")
+    """(kind, ord, key, pattern, value, lat, lon): all phrases of the vocabularies and the landmarks, some hundred rows."""
+    rows = [(kind, i, T.py_fold(k), T.compatible_pattern(k), v, None, None) for kind, table in (("category", V.CATEGORIES), ("need", V.NEEDS), ("attribute", V.ATTRIBUTES), ("price", V.PRICES), ("nearest", {"nearest": V.NEAREST})) for i, k, v in V.keys(table)]
+    rows += [("landmark", i, T.py_fold(n), T.compatible_pattern(n), n, lat, lon) for i, (n, lat, lon) in enumerate(V.LANDMARKS)]
+    return spark.createDataFrame(rows, "kind string, ord long, key string, pattern string, value string, lat double, lon double")
 
 
 def districts(places: DataFrame) -> DataFrame:
@@ -28,6 +24,16 @@ def districts(places: DataFrame) -> DataFrame:
     return each.groupBy(T.fold(F.col("name")).alias("key")).agg(F.min(F.struct("pos", "o")).alias("ord"), F.min_by("name", F.struct("pos", "o")).alias("name"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
+def gazetteer(places: DataFrame) -> DataFrame:
+    """Cities, districts and names of places in the columns of phrases(); first places go first, of equal names the last place counts."""
+    area = districts(places).select(F.lit("district").alias("kind"), (F.col("ord.pos") * 2 + F.col("ord.o")).cast("long").alias("ord"), "key", F.col("name").alias("value"), "lat", "lon")
+    none = F.lit(None).cast("double")
+    city = places.groupBy(T.fold(F.col("city")).alias("key")).agg(F.min("pos").cast("long").alias("ord"), F.max_by("city", "pos").alias("value")).select(F.lit("city").alias("kind"), "ord", "key", "value", none.alias("lat"), none.alias("lon"))
+    name = places.groupBy(T.fold(F.col("name")).alias("key")).agg(F.min("pos").cast("long").alias("ord"), F.max_by(F.struct("name", "lat", "lon"), "pos").alias("p")).select(F.lit("name").alias("kind"), "ord", "key", F.col("p.name").alias("value"), "p.lat", "p.lon")
+    both = area.unionByName(city).unionByName(name).where("key <> ''")
+    return both.select("kind", "ord", "key", T.pattern(F.col("value")).alias("pattern"), "value", "lat", "lon")
+
+
 def matches(hay: Column, raw: Column, key: Column, pattern: Column) -> Column:
     """A folded phrase in the haystack; where the raw text has it as typed, its diacritics must agree."""
     inside = F.contains(hay, F.concat(F.lit(" "), key, F.lit(" ")))
@@ -35,72 +41,137 @@ def matches(hay: Column, raw: Column, key: Column, pattern: Column) -> Column:
     return (key != "") & inside & (~typed | F.rlike(T.display(raw), pattern))
 
 
-def haystacks(queries: DataFrame) -> DataFrame:
-    """queries (query_id, text) with folded and expanded words and the haystack of both."""
-    toks = T.tokens(F.col("text"))
-    out = queries.withColumn("ftoks", toks).withColumn("toks", T.expand(F.col("ftoks")))
-    return out.withColumn("hay", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" "), F.array_join("ftoks", " "), F.lit(" ")))
+class Lookups:
+    """What the parser looks up, as tables that are written once.
 
+    phrases: vocabularies, landmarks, cities, districts and names under their folded keys; target and known: words that a typo may be
+    corrected to, and that are no typos; rare: words of at most MOST_PLACES names or brands; common: folded common words with the patterns of
+    their forms; longest: words of the longest key.
+    """
 
-def corrected(queries: DataFrame, known: DataFrame, target: DataFrame) -> DataFrame:
-    """haystacks() in which unknown words stand as the target word that they are a typo of; toks stay as typed."""
+    MOST_PLACES = 2
+
+    def __init__(self, spark: SparkSession, places: DataFrame, common: DataFrame | None = None, store: Store | None = None):
+        store = store or Store(spark)
+        have = places.select(F.col("category").alias("value")).distinct()
+        fixed = phrases(spark)
+        named = fixed.where("kind IN ('category', 'need')").join(have, "value", "left_semi")
+        every = fixed.where("kind NOT IN ('category', 'need')").unionByName(named).unionByName(gazetteer(places))
+        self.phrases = store.write(every, "phrases")
+        self.longest = self.phrases.agg(F.max(F.size(F.split("key", " ")))).first()[0]
+        words = lambda df: df.select(F.explode(F.split("key", " ")).alias("term"))
+        target = words(fixed.where("kind IN ('category', 'attribute', 'landmark')")).unionByName(words(self.phrases.where("kind IN ('city', 'district')")))
+        self.target = store.write(target.where("term <> ''").distinct(), "target")
+        plain = spark.createDataFrame([(w,) for w in V.COMMON], "word string") if common is None else common.select("word")
+        folded = plain.select(T.fold(F.col("word")).alias("term"), T.pattern(F.col("word")).alias("pattern")).where("term <> ''")
+        self.common = store.write(folded.distinct(), "common")
+        stop = spark.createDataFrame([(w,) for w in V.STOPWORDS], "term string")
+        self.known = store.write(self.target.unionByName(words(self.phrases.where("kind = 'name'"))).unionByName(stop).unionByName(self.common.select("term")).distinct(), "known")
+        content = places.select("pos", F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "name", "brand")))).alias("term"))
+        self.rare = store.write(content.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= self.MOST_PLACES), "rare")
+
+
+def grams(toks: Column, longest: int) -> Column:
+    """All runs of up to so many words, each joined by spaces."""
+    of = lambda n: F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, longest))), of)))
+
+
+def corrected(queries: DataFrame, lookups: Lookups) -> DataFrame:
+    """queries (query_id, toks, ftoks) with fixes, a map of unknown words of 4 letters and more to the word that each is a typo of."""
     from tessera.operators.retrieval import canonical
 
     words = queries.select("query_id", F.explode(F.array_union("toks", "ftoks")).alias("term"))
-    unknown = words.select("term").distinct().join(known.select("term"), "term", "left_anti")
-    fixes = F.broadcast(canonical(unknown, target))
-    pieces = queries.select("query_id", F.posexplode(F.filter(F.split("hay", " "), lambda x: x != "")).alias("at", "term")).join(fixes, "term", "left")
-    hay = pieces.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("canonical", "term").alias("t")))), lambda x: x["t"]).alias("h"))
-    mapped = pieces.where("canonical IS NOT NULL").groupBy("query_id").agg(F.collect_set(F.struct("term", "canonical")).alias("fixes"))
-    return queries.drop("hay").join(hay, "query_id", "left").join(mapped, "query_id", "left").withColumn("hay", F.concat(F.lit(" "), F.coalesce(F.array_join("h", " "), F.lit("")), F.lit(" "))).drop("h")
+    unknown = words.select("term").distinct().join(lookups.known, "term", "left_anti")
+    fixes = words.join(canonical(unknown, lookups.target), "term").groupBy("query_id").agg(F.map_from_entries(F.collect_set(F.struct("term", "canonical"))).alias("fixes"))
+    return queries.join(fixes, "query_id", "left").withColumn("fixes", F.coalesce("fixes", F.create_map().cast("map<string,string>")))
 
 
-def parse(spark: SparkSession, queries: DataFrame, places: DataFrame) -> DataFrame:
-    """One intent for each query (query_id, text).
+def parse(spark: SparkSession, queries: DataFrame, lookups: Lookups) -> DataFrame:
+    """One intent for each query (query_id, text); ids are unique.
 
-    Columns: query_id, text, toks, want_category, required, want_city, want_district, open_after, price_pref, nearest,
-    anchor_name, anchor_lat, anchor_lon, residual, terms. A named category goes before a needed one; the longest phrase
-    goes first. An anchor is a coordinate pair, else a landmark, a district's centroid, or a place's name.
+    Columns: query_id, text, toks, want_category, required, soft, want_city, want_district, open_after, price_pref, nearest,
+    anchor_name, anchor_lat, anchor_lon, residual, terms, corrected_query. A named category goes before a needed one; the longest phrase
+    goes first. An anchor is a coordinate pair, else a landmark, a district's centroid, or a place's name. residual has
+    the words that nothing explains, stop words and common words aside; terms are those of them that few names have.
+
+    All phrases are found by one join of the query's runs of words with the keys, so tables of any size are looked up without a nested loop.
     """
-    vocabulary, marks, areas = F.broadcast(phrases(spark)), F.broadcast(landmarks(spark)), districts(places)
-    target = vocabulary.where("kind IN ('category', 'attribute')").select(F.explode(F.split("key", " ")).alias("term"))
-    target = target.unionByName(marks.select(F.explode(F.split("key", " ")).alias("term"))).unionByName(areas.select(F.explode(F.split("key", " ")).alias("term"))).unionByName(places.select(F.explode(T.tokens(F.col("city"))).alias("term"))).distinct()
-    stop = spark.createDataFrame([(w,) for w in V.STOPWORDS], "term string")
-    words = places.select("pos", F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "name", "brand")))).alias("term"))
-    names = places.select(F.explode(T.tokens(F.col("name"))).alias("term")).distinct()
-    q = corrected(haystacks(queries), target.unionByName(stop).unionByName(names), target)
-
-    hits = q.join(vocabulary, matches(F.col("hay"), F.col("text"), F.col("key"), F.col("pattern"))).select("query_id", "kind", "ord", "key", "value")
-    have = places.select(F.col("category").alias("value")).distinct()
-    named = hits.where("kind IN ('category', 'need')").join(F.broadcast(have), "value")
-    first = Window.partitionBy("query_id").orderBy("kind", F.desc(F.length("key")), "ord")
-    category = named.withColumn("r", F.row_number().over(first)).where("r = 1").select("query_id", F.col("value").alias("want_category"), F.col("key").alias("ckey"))
-    others = hits.where("kind NOT IN ('category', 'need')").groupBy("query_id").agg(
-        F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "attribute", F.struct((-F.length("key")).alias("l"), "ord", "value")))), lambda x: x["value"])).alias("required"),
-        F.max(F.when((F.col("kind") == "price"), F.when(F.col("value") == "cheap", 2).otherwise(1))).alias("p"),
-        F.coalesce(F.max(F.col("kind") == "nearest"), F.lit(False)).alias("nearest"), F.array_join(F.collect_set("key"), " ").alias("okeys"))
-    cities = places.groupBy(F.col("city").alias("want_city")).agg(F.min("pos").alias("o")).withColumn("key", T.fold(F.col("want_city")))
-    named_city = q.join(F.broadcast(cities), F.contains("hay", F.concat(F.lit(" "), "key", F.lit(" ")))).groupBy("query_id").agg(F.min_by(F.struct("want_city", F.col("key").alias("citykey")), "o").alias("c")).select("query_id", "c.*")
-    area = q.join(F.broadcast(areas), F.contains("hay", F.concat(F.lit(" "), "key", F.lit(" ")))).groupBy("query_id").agg(F.min_by(F.struct("name", "key", "lat", "lon"), "ord").alias("d"))
-    mark = q.join(marks, F.rlike(T.display(F.col("text")), F.col("pattern"))).groupBy("query_id").agg(F.min_by(F.struct("name", "key", "lat", "lon"), "ord").alias("m"))
-    own = places.select(T.fold(F.col("name")).alias("key"), "name", "lat", "lon", "pos").where("key <> ''").groupBy("key").agg(F.max_by(F.struct("name", "key", "lat", "lon"), "pos").alias("place"), F.min("pos").alias("o"))
-    named_place = q.join(F.broadcast(own), F.contains(F.concat(F.lit(" "), F.array_join("ftoks", " "), F.lit(" ")), F.concat(F.lit(" "), own["key"], F.lit(" ")))).groupBy("query_id").agg(F.min_by("place", "o").alias("n"))
-
-    joined = q
-    for part in (category, others, named_city, area, mark, named_place):
-        joined = joined.join(F.broadcast(part), "query_id", "left")
+    none = F.array().cast("array<string>")
+    q = queries.select("query_id", F.coalesce(T.composed(F.col("text")), F.lit("")).alias("text"))
+    q = q.withColumn("ftoks", T.tokens(F.col("text"))).withColumn("toks", T.expand(F.col("ftoks")))
+    q = corrected(q, lookups)
+    fixed = lambda t: F.coalesce(F.try_element_at("fixes", t), t)
+    q = q.withColumn("shown", T.display(F.col("text"))).withColumn("hay", F.concat(F.transform("toks", fixed), F.transform("ftoks", fixed)))
+
+    runs = lambda c, typed: q.select("query_id", "shown", F.explode(grams(F.col(c), lookups.longest)).alias("key"), F.lit(typed).alias("typed"))
+    found = runs("hay", False).unionByName(runs("ftoks", True)).groupBy("query_id", "shown", "key").agg(F.max("typed").alias("typed"), F.max(~F.col("typed")).alias("inside"))
+    hits = found.join(lookups.phrases, "key").withColumn("agrees", F.rlike("shown", F.col("pattern")))
+    # Landmarks and names are looked for in the query as typed, all else in the expanded and corrected words too.
+    typed_only = F.col("kind").isin("landmark", "name")
+    hits = hits.where(F.when(typed_only, F.col("typed") & F.col("agrees")).otherwise(F.col("inside") & (~F.col("typed") | F.col("agrees"))))
+
+    kind = lambda *k: F.col("kind").isin(*k)
+    longest = F.struct(F.col("kind"), (-F.length("key")).alias("l"), F.col("ord"))
+    place = F.struct("value", "key", "lat", "lon")
+    first = lambda k, what=place: F.min_by(F.when(kind(k), what), F.when(kind(k), F.col("ord")))
+    attributes = F.array_sort(F.collect_list(F.when(kind("attribute"), F.struct((-F.length("key")).alias("l"), F.col("ord"), F.col("value")))))
+    parts = hits.groupBy("query_id").agg(
+        F.min_by(F.when(kind("category", "need"), place), F.when(kind("category", "need"), longest)).alias("c"),
+        F.array_distinct(F.transform(attributes, lambda x: x["value"])).alias("required"),
+        F.max(F.when(kind("price"), F.when(F.col("value") == "cheap", 2).otherwise(1))).alias("p"),
+        F.max(kind("nearest")).alias("nearest"), first("city").alias("city"), first("district").alias("district"), first("landmark").alias("landmark"), first("name").alias("name"),
+        F.flatten(F.collect_set(F.when(kind("attribute", "price", "nearest"), F.split("key", " ")))).alias("okeys"),
+    )
+    joined = q.join(parts, "query_id", "left")
     point = T.coordinates(F.col("text"))
-    pair = F.struct(F.concat(point["lat"].cast("string"), F.lit(", "), point["lon"].cast("string")).alias("name"), F.lit("").alias("key"), point["lat"].alias("lat"), point["lon"].alias("lon"))
-    anchor = F.coalesce(F.when(point.isNotNull(), pair), F.col("m"), F.col("d"), F.col("n"))
-    joined = joined.withColumn("a", anchor)
-    consumed = F.split(F.concat_ws(" ", "ckey", "okeys", "citykey", "d.key", "a.key"), " ")
-    fixed = lambda t: F.get(F.filter(F.coalesce("fixes", F.array().cast("array<struct<term:string,canonical:string>>")), lambda f: f["term"] == t), F.lit(0))["canonical"]
-    residual = F.filter(F.array_distinct("toks"), lambda t: ~F.array_contains(consumed, t) & ~F.array_contains(consumed, F.coalesce(fixed(t), t)) & ~t.isin(*V.STOPWORDS) & (F.length(t) >= 2) & ~t.rlike("^\\d+$"))
-    required = F.coalesce("required", F.array().cast("array<string>"))
-    out = joined.select("query_id", "text", "toks", "want_category", required.alias("required"), "want_city", F.col("d.name").alias("want_district"), F.when(F.array_contains(required, "mở khuya"), 22 * 60).alias("open_after"), F.when(F.col("p") == 2, "cheap").when(F.col("p") == 1, "expensive").alias("price_pref"), F.coalesce("nearest", F.lit(False)).alias("nearest"), F.col("a.name").alias("anchor_name"), F.col("a.lat").alias("anchor_lat"), F.col("a.lon").alias("anchor_lon"), residual.alias("residual"))
-    rare = words.groupBy("term").agg(F.count("*").alias("df")).where("df <= 2")
-    subject = out.select("query_id", F.posexplode("residual").alias("at", "term")).where("term RLIKE '^[a-z]{3,}$'").join(rare, "term").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("terms"))
-    return out.join(subject, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    pair = F.when(point.isNotNull(), F.struct(F.lit(V.HERE).alias("value"), F.lit("").alias("key"), point["lat"].alias("lat"), point["lon"].alias("lon")))
+    joined = joined.withColumn("a", F.coalesce(pair, "landmark", "district", "name"))
+    named = [F.coalesce(F.split(c, " "), none) for c in ("c.key", "city.key", "district.key")]
+    joined = joined.withColumn("consumed", F.concat(*named, F.coalesce("okeys", none), F.coalesce(T.tokens(F.col("a.value")), none)))
+
+    flagged = q.select("query_id", "shown", F.explode(F.array_distinct("ftoks")).alias("term")).join(lookups.common, "term").where(F.rlike("shown", F.col("pattern"))).groupBy("query_id").agg(F.collect_set("term").alias("flagged"))
+    joined = joined.join(flagged, "query_id", "left")
+    keep = lambda t: ~F.array_contains("consumed", t) & ~F.array_contains("consumed", fixed(t)) & ~t.isin(*V.STOPWORDS) & ~F.array_contains(F.coalesce("flagged", none), t) & (F.length(t) >= 2) & ~t.rlike("^\\d+$")
+    required = F.coalesce("required", none)
+    out = joined.select(
+        "query_id", "text", "toks", F.col("c.value").alias("want_category"), required.alias("required"), none.alias("soft"), F.col("city.value").alias("want_city"), F.col("district.value").alias("want_district"),
+        F.when(F.array_contains(required, "mở khuya"), 22 * 60).alias("open_after"), F.when(F.col("p") == 2, "cheap").when(F.col("p") == 1, "expensive").alias("price_pref"), F.coalesce("nearest", F.lit(False)).alias("nearest"),
+        F.col("a.value").alias("anchor_name"), F.col("a.lat").alias("anchor_lat"), F.col("a.lon").alias("anchor_lon"), F.filter(F.array_distinct("toks"), keep).alias("residual"), F.lit(None).cast("string").alias("corrected_query"),
+    )
+    subject = out.select("query_id", F.posexplode("residual").alias("at", "term")).where("term RLIKE '^[a-z]{3,}$'").join(lookups.rare, "term").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("terms"))
+    return out.join(subject, "query_id", "left").withColumn("terms", F.coalesce("terms", none))
+
+
+def resolve(spark: SparkSession, queries: DataFrame, outputs: DataFrame, lookups: Lookups, lexicon: DataFrame, always: bool = False) -> DataFrame:
+    """Intents of queries (query_id, text) with the replies (query_id, raw) of a language model, in the columns of parse().
+
+    A reply counts for a query that is degraded (needs_model(); or for all, if always) and whose reply is an object. Its corrected
+    query is parsed instead of the text, unless that parse explains less; then its fields fill what the rules left open.
+    Where it brings the category, residual words that name that category are explained. text stays the original one.
+    """
+    words = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).where(F.length("term") >= 4)
+    unknown = words.join(lexicon.select("term"), "term", "left_anti").select("query_id").distinct().withColumn("oov", F.lit(True))
+    gate = queries.join(unknown, "query_id", "left").where(F.lit(always) | needs_model(F.col("text"), F.coalesce("oov", F.lit(False)))).select("query_id", "text")
+    replies = validated(gate.join(outputs.select("query_id", "raw"), "query_id")).where("is_object")
+    plain = parse(spark, queries, lookups)
+    again = parse(spark, replies.where("corrected_query IS NOT NULL").select("query_id", F.col("corrected_query").alias("text")), lookups)
+    shape = lambda p: F.struct(F.col(f"{p}.want_category").alias("category"), F.col(f"{p}.required").alias("required"), F.col(f"{p}.residual").alias("residual"))
+    adopted = again.alias("n").join(plain.alias("o"), "query_id").select("n.*", shape("o").alias("before"), shape("n").alias("after")).where(~degrades("before", "after")).drop("before", "after")
+    fields = [c for c in plain.columns if c not in ("query_id", "text", "corrected_query")]
+    both = plain.join(adopted.select("query_id", F.struct("text", *fields).alias("n")), "query_id", "left")
+    chosen = both.select("query_id", "text", *(F.when(F.col("n").isNotNull(), F.col("n")[c]).otherwise(F.col(c)).alias(c) for c in fields), F.col("n.text").alias("corrected_query"))
+    rules = chosen.select("query_id", F.col("want_category").alias("_rule"))
+    out = merged(chosen, replies).join(rules, "query_id")
+    named = F.create_map(*(x for c in V.CATEGORIES for x in (F.lit(c), F.array(*(F.lit(w) for w in category_words(c))))))
+    says = F.when(F.col("_rule").isNull(), F.coalesce(F.try_element_at(named, F.col("want_category")), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    left = F.filter("residual", lambda t: ~F.array_contains(says, t))
+    return out.withColumn("residual", left).withColumn("terms", F.array_intersect("terms", "residual")).select(*plain.columns)
+
+
+def category_words(category: str) -> list[str]:
+    """The folded words of all phrases that name or need a category."""
+    return sorted({w for table in (V.CATEGORIES, V.NEEDS) for k in table.get(category, ()) for w in T.py_fold(k).split()})
 
 
 # Parses that a language model made, as data.
@@ -111,14 +182,22 @@ def lenient_json(c: Column) -> Column:
 
 
 def validated(outputs: DataFrame) -> DataFrame:
-    """(query_id, raw) as fields of the closed vocabularies, null where a value is foreign, with what was dropped."""
-    fields = F.from_json(lenient_json(F.col("raw")), "corrected_query string, category string, attributes array<string>, price_pref string, open_after string")
-    o = outputs.select("query_id", fields.alias("o")).select("query_id", "o.*")
+    """(query_id, raw[, text]) as fields of the closed vocabularies, null where a value is foreign, with what was dropped.
+
+    is_object says whether raw holds a JSON object. With text, the original query, corrected_query is checked against it.
+    """
+    reply = lenient_json(F.col("raw"))
+    fields = F.from_json(reply, "corrected_query string, category string, attributes array<string>, price_pref string, open_after string")
+    is_object = F.coalesce(F.startswith(F.trim(reply), F.lit("{")) & F.try_parse_json(reply).isNotNull(), F.lit(False))
+    original = F.col("text") if "text" in outputs.columns else F.lit(None).cast("string")
+    o = outputs.select("query_id", original.alias("_text"), is_object.alias("is_object"), fields.alias("o")).select("query_id", "_text", "is_object", "o.*")
     attributes = F.coalesce("attributes", F.array().cast("array<string>"))
     known = F.array(*map(F.lit, V.ATTRIBUTES))
     checks = {"category": F.col("category").isin(*V.CATEGORIES), "price_pref": F.col("price_pref").isin("cheap", "expensive"), "open_after": F.col("open_after").rlike("^([01]\\d|2[0-3]):([0-5]\\d)$")}
-    dropped = F.concat(F.filter(F.array(*(F.when(F.col(k).isNotNull() & ~v, k) for k, v in checks.items())), lambda x: x.isNotNull()), F.transform(F.array_except(attributes, known), lambda a: F.concat(F.lit("attribute:"), a)))
-    return o.select("query_id", "corrected_query", *(F.when(v, F.col(k)).alias(k) for k, v in checks.items()), F.array_intersect(attributes, known).alias("attributes"), dropped.alias("dropped"))
+    query = T.corrected_query(F.col("_text"), F.col("corrected_query"))
+    query = F.when(F.col("_text").isNull(), F.struct(F.col("corrected_query").alias("text"), F.lit(None).cast("string").alias("reason"))).otherwise(query)
+    dropped = F.concat(F.filter(F.array(*(F.when(F.col(k).isNotNull() & ~v, k) for k, v in checks.items()), F.when(query["reason"].isNotNull(), F.concat(F.lit("corrected_query:"), query["reason"]))), lambda x: x.isNotNull()), F.transform(F.array_except(attributes, known), lambda a: F.concat(F.lit("attribute:"), a)))
+    return o.select("query_id", "is_object", query["text"].alias("corrected_query"), *(F.when(v, F.col(k)).alias(k) for k, v in checks.items()), F.array_intersect(attributes, known).alias("attributes"), dropped.alias("dropped"))
 
 
 def merged(intents: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -129,9 +208,9 @@ def merged(intents: DataFrame, outputs: DataFrame) -> DataFrame:
     return j.withColumns({"want_category": F.coalesce("want_category", "_c"), "required": F.array_union("required", F.coalesce("_a", none)), "price_pref": F.coalesce("price_pref", "_p"), "open_after": F.coalesce("open_after", "_o")}).drop("_c", "_a", "_p", "_o")
 
 
-def needs_model(text: Column, toks: Column, lexicon: Column) -> Column:
-    """Whether a query is degraded: no diacritics at all, or a word of 4 letters or more that the lexicon lacks."""
-    return ~T.has_diacritics(text) | F.exists(toks, lambda t: (F.length(t) >= 4) & ~F.array_contains(lexicon, t))
+def needs_model(text: Column, unknown: Column) -> Column:
+    """Whether a query is degraded: no diacritics at all, or a word of 4 letters or more that the lexicon lacks (unknown)."""
+    return ~T.has_diacritics(text) | unknown
 
 
 def degrades(before: str, after: str) -> Column:

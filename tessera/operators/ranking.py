@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import signals as S
 from tessera.functions.text import fold, tokens
+from tessera.operators.retrieval import content_tokens
 
 RADII, ENOUGH = (30.0, 150.0), 3
 
@@ -16,27 +17,44 @@ def folded(a: Column) -> Column:
     return F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), fold))
 
 
+def prepared(places: DataFrame) -> DataFrame:
+    """places with what signals and filters need of them, folded once a place: ctoks (name and brand), fattrs, rtoks (tags and description)."""
+    own_words = F.array_distinct(F.concat(F.flatten(F.transform("tags", tokens)), tokens(F.col("description"))))
+    return places.withColumns({"ctoks": content_tokens(), "fattrs": folded(F.col("attributes")), "rtoks": own_words})
+
+
 def with_signals(pairs: DataFrame, mean_rating: Column) -> DataFrame:
     """Pairs of an intent and a place with the nine signals and the kilometres to the anchor.
 
-    Needs relevance and the intent's required, soft, want_category, anchor_lat, anchor_lon, open_after (minutes), price_pref, qtoks.
+    Needs relevance, the columns of prepared(), and the intent's frequired and fsoft (folded), want_category, anchor_lat, anchor_lon,
+    open_after (minutes), price_pref, qtoks.
     """
     km = S.haversine(F.col("anchor_lat"), F.col("anchor_lon"), F.col("lat"), F.col("lon"))
-    own_words = F.array_distinct(F.concat(F.flatten(F.transform("tags", tokens)), tokens(F.col("description"))))
     each = {
         "semantic": S.clamp(F.col("relevance")),
-        "attributes": S.attributes(folded(F.col("required")), folded(F.col("soft")), folded(F.col("attributes"))),
+        "attributes": S.attributes(F.col("frequired"), F.col("fsoft"), F.col("fattrs")),
         "category": S.category(F.col("want_category"), F.col("category")),
         "distance": S.distance(F.col("km")),
         "rating": S.rating(F.col("rating"), F.col("review_count"), mean_rating),
         "popularity": S.popularity(F.col("popularity")),
         "open_now": S.open_now(F.col("opening_hours"), F.coalesce("open_after", F.lit(S.NOW))),
-        "review": S.review(F.array_distinct("qtoks"), own_words),
+        "review": S.review(F.array_distinct("qtoks"), F.col("rtoks")),
         "price": S.price(F.col("price_pref"), F.col("price_level")),
     }
     return pairs.withColumn("km", km).withColumns({f"sig_{k}": v for k, v in each.items()})
 
 
+def with_folded(intents: DataFrame) -> DataFrame:
+    """intents with frequired and fsoft, folded once an intent."""
+    return intents.withColumns({"frequired": folded(F.col("required")), "fsoft": folded(F.col("soft"))})
+
+
+def top_signals(most: int = 3) -> Column:
+    """The names of a row's largest signals, ties in the order of their list."""
+    each = F.array(*(F.struct((-F.round(f"sig_{k}", 9)).alias("v"), F.lit(i).alias("o"), F.lit(k).alias("name")) for i, k in enumerate(S.WEIGHTS)))
+    return F.transform(F.slice(F.array_sort(each), 1, most), lambda x: x["name"])
+
+
 def score(weights: dict[str, float]) -> Column:
     return S.total({k: F.col(f"sig_{k}") for k in S.WEIGHTS}, weights, F.col("anchor_lat").isNotNull())
 
@@ -52,13 +70,15 @@ def corroborated(terms: DataFrame, top: DataFrame, places: DataFrame, k: int = 1
 def constrained(pairs: DataFrame) -> DataFrame:
     """Pairs that the hard filters leave, and the level at which they did: 2 for all filters, 1 without the last, 0 for none.
 
-    Location first, then the subject or else the category; where nothing is left the filter added last goes. Needs
-    want_city, want_district, want_category, terms, ctoks, subject_ok, residual_left.
+    Location first, then the subject or else the category, if nothing is left unexplained; where nothing is left the filter
+    added last goes. Content terms that the vectors don't corroborate are discredited: they are no subject, and don't count as
+    unexplained. Needs want_city, want_district, want_category, terms, residual, ctoks, subject_ok.
     """
     place = F.coalesce(F.col("city") == F.col("want_city"), F.lit(True)) & F.coalesce(F.col("district") == F.col("want_district"), F.lit(True))
     by_place = F.col("want_city").isNotNull() | F.col("want_district").isNotNull()
     by_subject = F.col("subject_ok") & (F.size("terms") > 0)
-    by_category = ~by_subject & F.col("want_category").isNotNull() & ~F.col("residual_left")
+    unexplained = F.size(F.when(by_subject, F.col("residual")).otherwise(F.array_except("residual", "terms"))) > 0
+    by_category = ~by_subject & F.col("want_category").isNotNull() & ~unexplained
     subject = F.when(by_subject, F.size(F.array_except("terms", "ctoks")) == 0).when(by_category, F.col("category") == F.col("want_category")).otherwise(F.lit(True))
     q = Window.partitionBy("query_id")
     flags = pairs.withColumns({"_f1": place, "_f2": place & subject, "_p": by_place})
@@ -132,7 +152,8 @@ def distance_text(km: Column) -> Column:
 
 def reasons(most: int = 4) -> Column:
     """Up to most reasons, each read off a value: attributes that match, the place, rating and reviews, hours."""
-    matched = F.filter("required", lambda a: F.array_contains(folded(F.col("attributes")), fold(a)))
+    own = folded(F.col("attributes"))
+    matched = F.filter("required", lambda a: F.array_contains(own, fold(a)))
     inside = (F.col("district") == F.col("want_district")) & F.startswith("anchor_name", F.col("want_district"))
     end = F.regexp_extract("opening_hours", "^\\d{1,2}:\\d{2}-(\\d{1,2}:\\d{2})$", 1)
     from tessera.functions.text import thousands

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import deletions, edit1, fold, transposed
+from tessera.functions.text import deletions, edit1, fold, tokens, transposed
+from tessera.sources.store import Store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
+#: Numbers of all queries' vectors up to which they are one matrix, 64 MB.
+BLOCK = 8_000_000
 
 
 def lexical_doc(attribute_weight: int = 2) -> Column:
@@ -27,27 +34,51 @@ def doc_text() -> Column:
 
 def content_tokens() -> Column:
     """Distinct folded words of name and brand."""
-    return F.array_distinct(F.filter(F.split(fold(F.concat_ws(" ", "name", "brand")), " "), lambda x: x != ""))
+    return F.array_distinct(tokens(F.concat_ws(" ", "name", "brand")))
+
+
+def raw_idf(df: DataFrame, totals: DataFrame) -> DataFrame:
+    return df.crossJoin(F.broadcast(totals)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+
+
+def floored(raw: DataFrame) -> DataFrame:
+    """A term of most documents gets a small share of the mean instead of a negative weight."""
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 class Bm25:
-    """Statistics of documents (pos, toks). Each is a DataFrame: tf by term and document, idf by term, one row of totals."""
+    """Statistics of documents (pos, toks). Each is a DataFrame: tf by term and document, idf by term, one row of totals.
+
+    They are lazy: every use computes them anew from docs. stored() writes them once, for many uses.
+    """
 
     def __init__(self, docs: DataFrame):
-        terms = docs.select("pos", F.explode("toks").alias("term"))
-        self.docs = docs.select("pos", F.size("toks").alias("dl"))
-        self.tf = terms.groupBy("term", "pos").agg(F.count("*").alias("tf"))
+        sized = docs.select("pos", F.size("toks").alias("dl"), "toks")
+        self.docs = sized.select("pos", "dl")
+        self.tf = sized.select("pos", "dl", F.explode("toks").alias("term")).groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
+        self._statistics()
+
+    def _statistics(self) -> None:
         self.totals = self.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         self.df = self.tf.groupBy("term").agg(F.count("*").alias("df"))
-        raw = self.df.crossJoin(F.broadcast(self.totals)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-        mean = raw.agg(F.avg("raw").alias("mean"))
-        # A term of most documents gets a small share of the mean instead of a negative weight.
-        self.idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        self.idf = floored(raw_idf(self.df, self.totals))
+
+    def stored(self, store: Store) -> Bm25:
+        """The same as tables of a store: each step reads what the one before it has written."""
+        out = object.__new__(Bm25)
+        out.tf = store.write(self.tf.repartition("term").sortWithinPartitions("term", "pos"), "postings")
+        out.docs = store.write(self.docs, "lengths")
+        out._statistics()
+        out.totals = store.write(out.totals, "totals")
+        out.df = store.write(out.df, "df")
+        out.idf = store.write(floored(store.write(raw_idf(out.df, out.totals), "raw")), "idf")
+        return out
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, pos, score) where a word matches; queries (query_id, toks) count repeated words each time."""
         asked = queries.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        hits = asked.join(self.idf, "term").join(self.tf, "term").join(self.docs, "pos").crossJoin(F.broadcast(self.totals))
+        hits = self.tf.join(asked.join(self.idf, "term"), "term").crossJoin(F.broadcast(self.totals))
         weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         return hits.groupBy("query_id", "pos").agg(F.sum(weight * F.col("times")).alias("score"))
 
@@ -65,8 +96,13 @@ class Bm25:
         return ranked(scored.unionByName(rest.withColumn("score", F.lit(0.0)))).where(F.col("rank") <= k)
 
 
+def by_score(score: str):
+    """The order of a query's list: scores, then the corpus' order."""
+    return Window.partitionBy("query_id").orderBy(F.desc(score), "pos")
+
+
 def ranked(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")))
+    return scored.withColumn("rank", F.row_number().over(by_score("score")))
 
 
 def drop_tokens(toks: Column, drop: Column) -> Column:
@@ -93,7 +129,7 @@ def canonical(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def correct(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """queries (query_id, toks) with unknown words replaced by what they are typos of."""
     words = queries.select("query_id", F.posexplode("toks").alias("at", "term"))
-    fixed = words.join(F.broadcast(canonical(words, vocabulary)), "term", "left").withColumn("term", F.coalesce("canonical", "term"))
+    fixed = words.join(canonical(words, vocabulary), "term", "left").withColumn("term", F.coalesce("canonical", "term"))
     toks = fixed.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("toks"))
     return queries.drop("toks").join(toks, "query_id", "left").withColumn("toks", F.coalesce("toks", F.array().cast("array<string>")))
 
@@ -110,9 +146,43 @@ def normalized(v: Column) -> Column:
 
 def dense(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, pos, score, rank) by cosine, for queries (query_id, v) and docs (pos, v); a zero query has no list."""
+    return ranked(cosines(queries, docs))
+
+
+def cosines(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, pos, score) for all pairs of queries (query_id, v) and docs (pos, v).
+
+    Queries of up to BLOCK numbers go to the executors as one matrix, by which each batch of vectors is multiplied; more are
+    joined pair by pair. Sums run over the dimensions in order in both, so equal vectors have equal scores.
+    """
     q = queries.select("query_id", normalized(F.col("v")).alias("q")).where(dot(F.col("q"), F.col("q")) > 0)
-    pairs = docs.select("pos", normalized(F.col("v")).alias("d")).crossJoin(F.broadcast(q))
-    return ranked(pairs.select("query_id", "pos", F.round(dot(F.col("q"), F.col("d")), 9).alias("score")))
+    unit = docs.select("pos", normalized(F.col("v")).alias("d"))
+    if (queries.agg(F.sum(F.size("v"))).first()[0] or 0) > BLOCK:
+        return unit.crossJoin(q).select("query_id", "pos", F.round(dot(F.col("q"), F.col("d")), 9).alias("score"))
+    rows = q.collect()
+    if not rows:
+        return unit.select(F.lit("").alias("query_id"), "pos", F.lit(0.0).alias("score")).limit(0)
+    names, matrix = [r.query_id for r in rows], np.array([r.q for r in rows])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            score = np.zeros((len(names), batch.num_rows))
+            for d in range(matrix.shape[1] if batch.num_rows else 0):
+                score += matrix[:, d, None] * vectors[None, :, d]
+            for name, own in zip(names, score, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.string()), batch.column(0), pa.array(own)], names=["query_id", "pos", "score"])
+
+    kind = dict(docs.dtypes)["pos"]
+    return unit.mapInArrow(multiply, f"query_id string, pos {kind}, score double").withColumn("score", F.round("score", 9))
+
+
+def fused_order(lexical: DataFrame, dense: DataFrame, c: int = RRF) -> DataFrame:
+    """fuse() of a lexical and a dense list with rank: ties in the order of first sight, the lexical list first."""
+    first = lexical.select("query_id", "pos", F.col("rank").alias("seen"), F.lit(0).alias("list")).unionByName(dense.select("query_id", "pos", F.col("rank").alias("seen"), F.lit(1).alias("list")))
+    seen = first.groupBy("query_id", "pos").agg(F.min(F.struct("list", "seen")).alias("seen"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 9)), "seen")
+    return fuse([lexical, dense], c).join(seen, ["query_id", "pos"]).withColumn("rank", F.row_number().over(order)).drop("seen")
 
 
 def fuse(lists: list[DataFrame], c: int = RRF) -> DataFrame:
@@ -126,4 +196,4 @@ def fuse(lists: list[DataFrame], c: int = RRF) -> DataFrame:
         both = both.unionByName(x)
     lists_ = both.groupBy("query_id").agg(F.count_distinct("list").alias("k"))
     sums = both.groupBy("query_id", "pos").agg(F.sum(1.0 / (c + F.col("rank"))).alias("rrf"))
-    return sums.join(F.broadcast(lists_), "query_id").select("query_id", "pos", "rrf", F.least(F.lit(1.0), F.col("rrf") / (F.col("k") / (c + 1.0))).alias("relevance"))
+    return sums.join(lists_, "query_id").select("query_id", "pos", "rrf", F.least(F.lit(1.0), F.col("rrf") / (F.col("k") / (c + 1.0))).alias("relevance"))

@@ -45,8 +45,8 @@ def swapped(word: Column, at: Column) -> Column:
 
 def open_late(hours: Column) -> Column:
     """Open all day, past midnight, or until 23:00 at least."""
-    start, end = minutes(F.split(hours, "-")[0]), minutes(F.split(hours, "-")[1])
-    return F.coalesce(F.when(hours == "24/7", F.lit(True)).otherwise((end < start) | (end >= 23 * 60)), F.lit(False))
+    start, end = (minutes(F.get(F.split(hours, "-"), F.lit(i))) for i in (0, 1))
+    return F.coalesce(F.when(F.trim(hours) == "24/7", F.lit(True)).otherwise((end < start) | (end >= 23 * 60)), F.lit(False))
 
 
 def predicate(category: str | None = None, city: str | None = None, district: str | None = None, attributes: tuple[str, ...] = (), late: bool = False, price: tuple[int, ...] = ()) -> Column:

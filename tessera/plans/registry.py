@@ -15,7 +15,7 @@ from tessera.operators import synthesis as Y
 from tessera.plans import base as X
 from tessera.plans.base import COMMON, fold_sql, haversine_sql, literal, open_sql, toks_sql, values
 from tessera.sources import vocabulary as V
-from tessera.sources.places import cache_key, display_words, missing, optional, places, split_list, table
+from tessera.sources.places import cache_key, display_words, missing, optional, optional_int, places, split_list, table
 
 REG = X.Registry()
 add = REG.add
@@ -100,7 +100,7 @@ def split_clean(spark, sf):
 @add(f"WITH r AS ({values(RAW, 'id long, parts string, num string, opt string')}) SELECT CAST(id AS BIGINT) AS id, CAST(trunc(TRY_CAST(num AS DOUBLE)) AS BIGINT) AS num, nullif(trim(opt), '') AS opt FROM r", common=False)
 def opt_casts(spark, sf):
     r = small(spark, RAW, "id long, parts string, num string, opt string")
-    return r.select("id", F.expr("try_cast(num AS double)").cast("int").alias("num"), optional(F.col("opt")).alias("opt"))
+    return r.select("id", optional_int(F.col("num")).alias("num"), optional(F.col("opt")).alias("opt"))
 
 
 # Documents and statistics.
@@ -197,7 +197,8 @@ def hybrid_relevance(spark, sf):
 
 @add(" SELECT query_id, pos, round(least(1.0e0, (1.0e0 / (60 + rank)) / (1 / 61.0e0)), 6) AS relevance FROM bmr")
 def relevance_bm25_only(spark, sf):
-    return B.fuse([X.lexical(spark, sf)]).select("query_id", "pos", "relevance")
+    none = X.query_vectors(spark, sf).limit(0)
+    return X.engine(spark, sf).hybrid(X.queries_df(spark), none).select("query_id", "pos", "relevance")
 
 
 # Scalars and signals.
@@ -236,11 +237,35 @@ def default_weights_score(spark, sf):
     return X.scored(spark, sf, S.WEIGHTS).select("query_id", "pos", "score")
 
 
-@add(" SELECT query_id, pos, poi_id, rank, round(score, 6) AS score, level, near FROM (SELECT *, CAST(level AS BIGINT) AS level2 FROM final) WHERE rank <= 10".replace(" level,", " level2 AS level,"))
+FULL = " SELECT query_id, pos, poi_id, rank, round(score, 6) AS score, CAST(level AS BIGINT) AS level, near FROM final WHERE rank <= 10"
+
+
+@add(FULL, texts=True)
 def full_rank(spark, sf):
+    """From the texts of queries alone."""
+    return X.searched(spark, sf).where("rank <= 10").select("query_id", "pos", "poi_id", "rank", "score", "level", "near")
+
+
+@add(FULL)
+def intent_rank(spark, sf):
     return X.final(spark, sf).where("rank <= 10").select("query_id", "pos", "poi_id", "rank", "score", "level", "near")
 
 
+@add(" SELECT query_id, want_category, list_sort(" + X.list_sql("req") + ") AS required, want_city, want_district, CAST(open_after AS BIGINT) AS open_after, price_pref, nearest, anchor_name, round(anchor_lat, 6) AS anchor_lat, round(anchor_lon, 6) AS anchor_lon, list_sort(" + X.list_sql("residual") + ") AS residual, " + X.list_sql("terms") + " AS terms FROM it", texts=True)
+def parse_intents(spark, sf):
+    p = P.parse(spark, X.queries_df(spark).select("query_id", "text"), X.engine(spark, sf).lookups)
+    return p.select("query_id", "want_category", F.sort_array("required").alias("required"), "want_city", "want_district", "open_after", "price_pref", "nearest", "anchor_name", "anchor_lat", "anchor_lon", F.sort_array("residual").alias("residual"), "terms")
+
+
+@add(" SELECT query_id, list_sort(string_split(CASE WHEN query_id = 'Q08' THEN '' ELSE (" + X.LEXICAL_SQL + ") END, ' ')) AS words FROM qs", texts=True)
+def lexical_words(spark, sf):
+    """The words by which texts are retrieved: expanded, corrected, without the district."""
+    e = X.engine(spark, sf)
+    asked = P.parse(spark, X.queries_df(spark).select("query_id", "text"), e.lookups).select("query_id", "text", T.tokens(F.col("want_district")).alias("drop"))
+    words = e.lexical(asked)
+    return words.select("query_id", F.when(F.size("toks") > 0, F.sort_array("toks")).otherwise(F.array(F.lit(""))).alias("words"))
+
+
 # Filters, gates, windows.
 
 
@@ -257,10 +282,20 @@ def subject_filter(spark, sf):
     return places(spark, sf).select("pos", B.content_tokens().alias("ctoks")).crossJoin(F.broadcast(q)).where(F.size(F.array_except("terms", "ctoks")) == 0).select("query_id", "pos")
 
 
-@add(" SELECT query_id, pos FROM flags WHERE want_category = category AND NOT residual_left")
+@add(" SELECT query_id, pos FROM flags WHERE want_category = category AND len(list_filter(res, lambda t: NOT list_contains(tm, t))) = 0")
 def category_filter(spark, sf):
-    q = X.intents_df(spark).where(~F.col("residual_left")).select("query_id", F.col("want_category").alias("category"))
-    return places(spark, sf).join(F.broadcast(q), "category").select("query_id", "pos")
+    """With all content terms discredited."""
+    q = X.intents_df(spark).where(F.size(F.array_except("residual", "terms")) == 0).select("query_id", F.col("want_category").alias("category"))
+    return places(spark, sf).join(q, "category").select("query_id", "pos")
+
+
+@add(" SELECT query_id, list_sort(CASE WHEN subject_ok AND len(tm) > 0 THEN res ELSE list_filter(res, lambda t: NOT list_contains(tm, t)) END) AS unexplained FROM flags GROUP BY ALL")
+def discredited(spark, sf):
+    """What is left unexplained of a query once its vectors have had their say."""
+    ok = R.corroborated(X.intents_df(spark).select("query_id", "terms"), X.dense(spark, sf), X.engine(spark, sf).places)
+    by_subject = F.col("subject_ok") & (F.size("terms") > 0)
+    left = F.when(by_subject, F.col("residual")).otherwise(F.array_except("residual", "terms"))
+    return X.intents_df(spark).join(ok, "query_id").select("query_id", F.sort_array(left).alias("unexplained"))
 
 
 @add(" SELECT query_id, CAST(max(level) AS BIGINT) AS level, count(*) AS n FROM kept GROUP BY query_id")
@@ -270,7 +305,7 @@ def relaxation(spark, sf):
 
 @add(" SELECT query_id, subject_ok FROM cor")
 def corroboration(spark, sf):
-    return R.corroborated(X.intents_df(spark).select("query_id", "terms"), X.dense(spark, sf), places(spark, sf).withColumn("ctoks", B.content_tokens()))
+    return R.corroborated(X.intents_df(spark).select("query_id", "terms"), X.dense(spark, sf), X.engine(spark, sf).places)
 
 
 @add(" SELECT query_id, count(*) FILTER (near) AS near, count(*) AS n FROM heads GROUP BY query_id")
@@ -333,7 +368,7 @@ def hits_sql(table_: dict, kind: str) -> str:
 def plain_hits(spark, kind: str) -> DataFrame:
     """Matches without abbreviations and typos, so that SQL can say them too."""
     q = X.queries_df(spark).withColumn("hay", T.padded(F.col("toks")))
-    return q.join(F.broadcast(P.phrases(spark).where(F.col("kind") == kind)), P.matches(F.col("hay"), F.col("text"), F.col("key"), F.col("pattern"))).select("query_id", "ord", "key", "value")
+    return q.join(F.broadcast(P.phrases(spark).where(F.col("kind") == kind).select("ord", "key", "pattern", "value")), P.matches(F.col("hay"), F.col("text"), F.col("key"), F.col("pattern"))).select("query_id", "ord", "key", "value")
 
 
 def best_hit(hits: DataFrame) -> DataFrame:
@@ -370,7 +405,8 @@ def district_centroids(spark, sf):
   SELECT query_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, ord) AS r FROM tiers) WHERE r = 1""")
 def gazetteer_resolve(spark, sf):
     q = X.queries_df(spark).withColumn("hay", T.padded(F.col("toks")))
-    m = q.join(F.broadcast(P.landmarks(spark)), F.rlike(T.display(F.col("text")), F.col("pattern"))).groupBy("query_id").agg(F.min_by(F.struct("name", "lat", "lon"), "ord").alias("m"))
+    marks = P.phrases(spark).where("kind = 'landmark'").withColumnRenamed("value", "name")
+    m = q.join(F.broadcast(marks), F.rlike(T.display(F.col("text")), F.col("pattern"))).groupBy("query_id").agg(F.min_by(F.struct("name", "lat", "lon"), "ord").alias("m"))
     d = q.join(F.broadcast(P.districts(places(spark, sf))), F.contains("hay", F.concat(F.lit(" "), "key", F.lit(" ")))).groupBy("query_id").agg(F.min_by(F.struct("name", "lat", "lon"), "ord").alias("d"))
     return q.select("query_id").join(m, "query_id", "left").join(d, "query_id", "left").select("query_id", F.coalesce("m", "d").alias("a")).where("a IS NOT NULL").select("query_id", "a.*")
 
@@ -387,11 +423,6 @@ def distinctive_terms(spark, sf):
     return words.groupBy("term").agg(F.count("*").alias("df")).where("df <= 2")
 
 
-@add()
-def parse_intents(spark, sf):
-    return P.parse(spark, X.queries_df(spark).select("query_id", "text"), places(spark, sf)).select("query_id", "want_category", F.array_join("required", ";").alias("required"), "want_city", "want_district", "open_after", "price_pref", "nearest", "anchor_name", "anchor_lat", "anchor_lon", F.array_join("residual", " ").alias("residual"), F.array_join("terms", " ").alias("terms"))
-
-
 # Explanations and projections.
 
 REASONS = f""", rs AS (SELECT query_id, pos, rank, list_filter([
@@ -669,9 +700,9 @@ def cache_misses(spark, sf):
     return missing(d, d.where("doc_id % 2 = 0"), "doc_id")
 
 
-@add(" SELECT q.query_id, count(f.pos) AS n FROM qs q LEFT JOIN final f ON f.query_id = q.query_id AND f.rank <= 10 GROUP BY q.query_id")
+@add(" SELECT q.query_id, count(f.pos) AS n FROM qs q LEFT JOIN final f ON f.query_id = q.query_id AND f.rank <= 10 GROUP BY q.query_id", texts=True)
 def robustness_nonempty(spark, sf):
-    return X.queries_df(spark).select("query_id").join(X.final(spark, sf).where("rank <= 10").select("query_id", "pos"), "query_id", "left").groupBy("query_id").agg(F.count("pos").alias("n"))
+    return X.queries_df(spark).select("query_id").join(X.searched(spark, sf).where("rank <= 10").select("query_id", "pos"), "query_id", "left").groupBy("query_id").agg(F.count("pos").alias("n"))
 
 
 COMMON_WORDS = [("# a comment",), ("nhất",), ("nhật",), ("",), ("  đi ",), ("đi",)]

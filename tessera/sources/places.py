@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.signals import WEIGHTS
 
-#: Places derived from part; the text runs in Spark and in other engines alike.
+#: Places derived from part, some with a name of their own; the text runs in Spark and in other engines alike.
 POI_SQL = """SELECT p_partkey AS pos,
-  concat('P', lpad(CAST(p_partkey AS STRING), 6, '0')) AS poi_id, p_name AS name,
+  concat('P', lpad(CAST(p_partkey AS STRING), 6, '0')) AS poi_id,
+  CASE WHEN p_partkey % 50 = 7 THEN concat(p_name, ' ', translate(CAST(p_partkey + 10000 AS STRING), '0123456789', 'abcdefghij')) ELSE p_name END AS name,
   CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_brand END AS brand,
   CASE p_type WHEN 'STANDARD' THEN 'Quán cà phê' WHEN 'PROMO' THEN 'Nhà hàng' WHEN 'ECONOMY' THEN 'Khách sạn'
     WHEN 'MEDIUM' THEN 'ATM' WHEN 'SMALL' THEN 'Trạm xăng' ELSE 'Công viên' END AS category,
@@ -39,6 +40,17 @@ def optional(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def optional_number(c: Column) -> Column:
+    """A number, null where there is none (blank, words, NaN)."""
+    value = F.trim(c.cast("string")).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def optional_int(c: Column) -> Column:
+    """A whole number, cut toward zero; null where there is none, or none that an int holds."""
+    return F.when(F.abs(optional_number(c)) < 2.0**31, optional_number(c)).cast("int")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,8 +67,8 @@ def read_places(df: DataFrame) -> DataFrame:
     df = df.withColumnsRenamed(names)
     text = {c: F.coalesce(F.trim(F.col(c)), F.lit("")) for c in ("poi_id", "name", "category", "city", "district", "address", "description")}
     none = {c: optional(F.col(c)) for c in ("brand", "sub_category", "opening_hours")}
-    number = {c: F.col(c).cast("double") for c in ("lat", "lon", "rating", "popularity")}
-    whole = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).cast("int") for c in ("review_count", "price_level")}
+    number = {c: optional_number(F.col(c)) for c in ("lat", "lon", "rating", "popularity")}
+    whole = {c: optional_int(F.col(c)) for c in ("review_count", "price_level")}
     return df.withColumns(text | none | number | whole | {c: split_list(F.col(c)) for c in ("attributes", "tags")})
 
 
@@ -89,6 +101,69 @@ def missing(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
     return wanted.join(cache.select(key), key, "left_anti")
 
 
+def read_through(wanted: DataFrame, path: str, compute, key: str = "key", value: str = "value") -> DataFrame:
+    """wanted (key, ...) with its values: those that the cache at path lacks are computed and added to it, successes only.
+
+    A cached row whose value is null or unreadable JSON counts as a miss, so a corrupt entry is computed anew. compute takes the
+    missing rows and returns (key, value); null values are not cached.
+    """
+    spark = wanted.sparkSession
+    cached = read_or_empty(spark, path, f"{key} string, {value} string")
+    good = cached.where(F.col(key).isNotNull() & F.try_parse_json(F.col(value)).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+    fresh = compute(missing(wanted, good, key)).select(key, value).where(F.col(value).isNotNull())
+    fresh.write.mode("append").parquet(path)
+    now = read_or_empty(spark, path, f"{key} string, {value} string").where(F.try_parse_json(F.col(value)).isNotNull())
+    return wanted.join(now.groupBy(key).agg(F.max(value).alias(value)), key, "left")
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at path, or none of its rows while nothing has been written there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
+
+
+def write_places(places: DataFrame, path: str) -> None:
+    """Places with the text that is embedded, as Parquet."""
+    from tessera.operators.retrieval import doc_text
+
+    places.withColumn("doc_text", doc_text()).write.mode("overwrite").parquet(path)
+
+
+def copy_table(df: DataFrame, path: str) -> None:
+    """A table copied unchanged, such as a taxonomy of attributes."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_split(split: DataFrame, path: str, seed: str, part: float) -> None:
+    """A split (query_id, split) as one JSON object: seed, test_frac, and the sorted ids of either side."""
+    sides = split.groupBy().agg(*(F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("query_id")))).alias(s) for s in ("tune", "test")))
+    sides.select(F.lit(seed).alias("seed"), F.lit(part).alias("test_frac"), "tune", "test").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, split) of write_split()."""
+    sides = spark.read.schema("seed string, test_frac double, tune array<string>, test array<string>").json(path)
+    each = F.explode(F.concat(*(F.transform(s, lambda q, s=s: F.struct(q.alias("query_id"), F.lit(s).alias("split"))) for s in ("tune", "test"))))
+    return sides.select(each.alias("x")).select("x.*")
+
+
+def write_weights(spark: SparkSession, weights: dict[str, float], ndcg: float, grid: list[float], margin: float, path: str, official: bool = False) -> None:
+    """Tuned weights as JSON. Only official ones overwrite what is at path; a candidate needs a path of its own."""
+    row = spark.createDataFrame([(weights, ndcg, [float(g) for g in grid], margin)], "weights map<string,double>, tuned_ndcg5_tune double, grid array<double>, margin double")
+    row.select(F.struct(*(F.col("weights")[k].alias(k) for k in weights)).alias("weights"), "tuned_ndcg5_tune", "grid", "margin").coalesce(1).write.mode("overwrite" if official else "errorifexists").json(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report's rows as JSON lines in one file, and as a table of Markdown beside it; reports are small."""
+    df.coalesce(1).write.mode("overwrite").json(f"{path}/rows")
+    rows = F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), " | "), F.lit(" |"))
+    head = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
+    body = df.select(rows.alias("value")).withColumn("o", F.monotonically_increasing_id() + 2)
+    top = df.sparkSession.createDataFrame(list(enumerate(head)), "o long, value string").select("value", "o")
+    top.unionByName(body).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(f"{path}/markdown")
+
+
 def write_index(vectors: DataFrame, path: str, provider: str, model: str) -> None:
     """Vectors (poi_id, pos, embedding) and a manifest with a fingerprint of their order."""
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
@@ -97,7 +172,8 @@ def write_index(vectors: DataFrame, path: str, provider: str, model: str) -> Non
 
 
 def fingerprint() -> Column:
-    """An order-aware sum of the corpus' ids; unlike a list of them it is an aggregate of one number."""
+    """An order-aware sum over the corpus: of hashes of (place, id). It tells corpora apart as a hash of the ordered list of
+    ids would, but is an aggregate of one number that no task has to hold the list for."""
     return F.sum(F.xxhash64("pos", "poi_id").cast("decimal(38,0)")).cast("string")
 
 
@@ -112,13 +188,11 @@ def read_index(spark: SparkSession, path: str, provider: str, model: str, corpus
 
 def load_weights(spark: SparkSession, path: str | None = None) -> dict[str, float]:
     """Weights of a JSON file; absent files and signals fall back to the defaults."""
-    from pyspark.errors import AnalysisException
-
     if path is None:
         return dict(WEIGHTS)
-    try:
-        text = "\n".join(r.value for r in spark.read.text(path).collect())
-    except AnalysisException:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         return dict(WEIGHTS)
+    text = "\n".join(r.value for r in spark.read.text(path).collect())
     found = json.loads(text).get("weights", {})
     return {k: float(found.get(k, v)) for k, v in WEIGHTS.items()}

@@ -10,12 +10,18 @@ ABBREVIATIONS = {
     "bv": "benh vien", "hospital": "benh vien", "atm": "atm", "gas": "tram xang", "gas station": "tram xang",
 }
 
+# Fixed value: the name of an anchor that a query gives by its coordinates.
+HERE = "vị trí đã chọn"
 # Folded filler words.
-STOPWORDS = (
-    "o cho co cua va voi de tai gan day nay do ra vao len xuong khu vuc khong qua cung hay hoac mot cac nhung vai moi "
-    "noi dia diem quan tim kiem muon can gi nao phu hop the "
-    "ngon dep re tot sang chanh xin cu lon nho rong rai sach se gia tieng view thanh an uong mon gio"
-).split()
+STOPWORDS = [
+    "o", "cho", "co", "cua", "va", "voi", "de", "tai", "gan", "day", "nay", "do", "ra", "vao", "len", "xuong", "khu", "vuc", "khong", "qua", "cung",
+    "hay", "hoac", "mot", "cac", "nhung", "vai", "moi", "noi", "dia", "diem", "quan", "tim", "kiem", "muon", "can", "gi", "nao", "phu", "hop", "the",
+    "ngon", "dep", "re", "tot", "sang", "chanh", "xin", "cu", "lon", "nho", "rong", "rai", "sach", "se", "gia", "tieng", "view", "thanh", "an", "uong",
+    "mon", "gio",
+]
+
+#: Common words, as they are written; none is ever a subject. A longer list is a parameter of the parser.
+COMMON = ["nhất", "nhật", "phòng", "trên", "dưới", "trong", "ngoài", "rất", "lắm", "đang", "đã", "sẽ", "mình", "tôi", "bạn", "ai", "đâu", "thì", "là", "bị", "được", "cùng", "theo", "khi", "nếu", "thêm", "cả", "quá", "chưa", "đến"]
 
 # Phrases that name a category.
 CATEGORIES = {
