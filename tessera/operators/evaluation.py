@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.store import Store
+
 METRICS = ("recall3", "recall5", "ndcg5", "mrr")
 
 
@@ -91,3 +93,92 @@ def coordinate_ascent(objective, weights: dict[str, float], grid=(0.05, 0.1, 0.2
         if not moved:
             break
     return best, at
+
+
+def ablation(stages: dict[str, DataFrame], rels: DataFrame) -> DataFrame:
+    """One row of mean metrics for each stage, a name and its lists (query_id, poi_id, rank), over the queries of rels.
+
+    The lists meet rels in one join: only ranks of relevant places are aggregated.
+    """
+    every = None
+    for name, lists in stages.items():
+        one = lists.select(F.concat(F.lit(f"{name}:"), "query_id").alias("query_id"), "poi_id", "rank")
+        every = one if every is None else every.unionByName(one)
+    names = F.explode(F.array(*map(F.lit, stages)))
+    each = per_query(every, rels.withColumn("stage", names).withColumn("query_id", F.concat("stage", F.lit(":"), "query_id")).drop("stage"))
+    return each.groupBy(F.split("query_id", ":")[0].alias("stage")).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
+
+
+def degraded(queries: DataFrame, typo) -> DataFrame:
+    """Each query (query_id, text) clean, without diacritics, and without them and with a typo; degradation says which. typo is a function of text and a number in [0, 1)."""
+    from tessera.functions.text import strip_diacritics
+
+    bare = strip_diacritics(F.col("text"))
+    u = F.conv(F.substring(F.md5("query_id"), 1, 8), 16, 10).cast("double") / 4294967296.0
+    versions = {"clean": F.col("text"), "no-diacritics": bare, "typo": typo(bare, u)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("degradation"), v.alias("text")) for k, v in versions.items())))
+    return queries.select("query_id", each.alias("v")).select(F.concat_ws("/", "query_id", "v.degradation").alias("query_id"), F.col("query_id").alias("of"), "v.degradation", "v.text")
+
+
+def gates(ablated: DataFrame, held_out: DataFrame, latency_p95: Column, failures: Column) -> DataFrame:
+    """(gate, value, threshold, passed): recall of words alone, the fused list over its parts, the whole engine held out, latency in ms, robustness.
+
+    ablated has rows bm25, dense and hybrid of ablation(); held_out one row of the whole engine's means.
+    """
+    of = lambda stage, m: F.max(F.when(F.col("stage") == stage, F.col(m)))
+    a = ablated.agg(of("bm25", "recall5").alias("r"), of("hybrid", "ndcg5").alias("h"), F.greatest(of("bm25", "ndcg5"), of("dense", "ndcg5")).alias("parts"))
+    one = a.crossJoin(held_out.select(F.col("ndcg5").alias("n"), F.col("recall3").alias("r3")))
+    row = lambda name, value, least, ok: F.struct(F.lit(name).alias("gate"), value.cast("double").alias("value"), least.cast("double").alias("threshold"), ok.alias("passed"))
+    c, x = F.col, F.lit
+    rows = F.array(
+        row("G1", c("r"), x(0.55), c("r") >= 0.55), row("G2", c("h"), c("parts"), c("h") > c("parts")), row("G3", c("n"), x(0.8), (c("n") >= 0.8) & (c("r3") >= 0.75)),
+        row("G4", latency_p95, x(200.0), latency_p95 < 200), row("G5", failures, x(0.0), failures == 0),
+    )
+    return one.select(F.explode(rows).alias("g")).select("g.*")
+
+
+def best_provider(scores: DataFrame) -> DataFrame:
+    """The (provider, ndcg5) with the largest ndcg5, ties to the first by name; rows without a score don't count."""
+    return scores.where("ndcg5 IS NOT NULL").agg(F.min(F.struct((-F.col("ndcg5")).alias("n"), "provider")).alias("b")).select("b.provider", (-F.col("b.n")).alias("ndcg5"))
+
+
+def accepted(table: DataFrame, guarded: str, improved: str, slack: float = 0.005) -> DataFrame:
+    """One row (guard_ok, improves, accept) of arms (arm, committed, candidate): the guarded arm may lose slack at most, the other one must gain."""
+    of = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    t = table.agg((of(guarded, "candidate") >= of(guarded, "committed") - slack).alias("guard_ok"), (of(improved, "candidate") > of(improved, "committed")).alias("improves"))
+    return t.withColumn("accept", F.col("guard_ok") & F.col("improves"))
+
+
+def disjoint(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (shared): how many rows of equal columns both have; 0 means that the sets are disjoint."""
+    return a.distinct().intersect(b.distinct()).agg(F.count("*").alias("shared"))
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows (side, ...) that only one of two tables has, counted as often as they occur; none means that the two are equal."""
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def cumulative(df: DataFrame, value: str, store: Store) -> DataFrame:
+    """(value, lo, hi): of each distinct value that is not null the ranks lo + 1 to hi of its rows, in the order of values.
+
+    Values are dealt to partitions by ranges and summed there; only one number of each partition is summed up in one place.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c"))
+    ranged = store.write(counts.repartitionByRange("value").withColumn("p", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("p").agg(F.sum("c").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = ranged.withColumn("hi", F.sum("c").over(Window.partitionBy("p").orderBy("value")))
+    return inside.join(F.broadcast(before.select("p", "before")), "p").select("value", (F.col("hi") + F.col("before") - F.col("c")).alias("lo"), (F.col("hi") + F.col("before")).alias("hi"))
+
+
+def at_rank(rank: Column) -> Column:
+    """An aggregate over cumulative(): the value of a rank."""
+    return F.max(F.when((F.col("lo") < rank) & (F.col("hi") >= rank), F.col("value")))
+
+
+def percentile(q: float) -> Column:
+    """An aggregate over cumulative() and its n: the interpolated percentile."""
+    place = (F.col("n") - 1) * q
+    low, high = at_rank(F.floor(place) + 1), at_rank(F.ceil(place) + 1)
+    part = F.max(place - F.floor(place))
+    return low + (high - low) * part

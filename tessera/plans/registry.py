@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import signals as S
 from tessera.functions import text as T
+from tessera.operators import engine as N
 from tessera.operators import evaluation as E
 from tessera.operators import parsing as P
 from tessera.operators import ranking as R
@@ -15,7 +16,8 @@ from tessera.operators import synthesis as Y
 from tessera.plans import base as X
 from tessera.plans.base import COMMON, fold_sql, haversine_sql, literal, open_sql, toks_sql, values
 from tessera.sources import vocabulary as V
-from tessera.sources.places import cache_key, display_words, missing, optional, optional_int, places, split_list, table
+from tessera.sources.places import cache_key, display_words, missing, optional, optional_int, places, read_places, split_list, table
+from tessera.sources.store import Store
 
 REG = X.Registry()
 add = REG.add
@@ -542,36 +544,216 @@ def split_semi(spark, sf):
     return X.queries_df(spark).join(F.broadcast(test), "query_id", "left_semi").select("query_id", "text")
 
 
-LANES = {"bm25": "bmr", "dense": "dnr", "full": "final"}
+PREL = ", prel AS (SELECT it.query_id, poi_id, CASE WHEN popularity >= 95 THEN 3 ELSE 1 END AS gain FROM it JOIN poi ON poi.category = it.want_category AND popularity >= 90)"
+HYBRID = ", hyb AS (SELECT rrf.query_id, rrf.pos, row_number() OVER (PARTITION BY rrf.query_id ORDER BY round(rrf, 9) DESC, bmr.rank) AS rank FROM rrf JOIN bmr ON bmr.query_id = rrf.query_id AND bmr.pos = rrf.pos), rnd AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY md5('0:' || query_id || ':' || pos), pos) AS rank FROM qs CROSS JOIN poi)"
+LANES = {"random": "rnd", "bm25": "bmr", "dense": "dnr", "hybrid": "hyb", "full": "final"}
+MEANS = """ SELECT stage, count(*) AS n, round(avg(coalesce(h3 * 1.0e0 / m, 0)), 6) AS recall3, round(avg(coalesce(h5 * 1.0e0 / m, 0)), 6) AS recall5, round(avg(coalesce(dcg / idcg, 0)), 6) AS ndcg5, round(avg(coalesce(1.0e0 / first, 0)), 6) AS mrr
+  FROM (SELECT unnest(['random', 'bm25', 'dense', 'hybrid', 'full']) AS stage) CROSS JOIN (SELECT query_id, count(*) AS m, sum(CASE WHEN i <= 5 THEN gain / log2(i + 1.0e0) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS i FROM prel) GROUP BY query_id) ideal
+  LEFT JOIN (SELECT engine AS stage, query_id, count(*) FILTER (rank <= 3) AS h3, count(*) FILTER (rank <= 5) AS h5, sum(CASE WHEN rank <= 5 THEN gain / log2(rank + 1.0e0) ELSE 0 END) AS dcg, min(rank) AS first FROM lanes JOIN poi USING (pos) JOIN prel USING (query_id, poi_id) GROUP BY ALL) hits USING (stage, query_id) GROUP BY stage"""
+
+
+def place_rels(spark, sf) -> DataFrame:
+    wanted = X.intents_df(spark).select("query_id", F.col("want_category").alias("category"))
+    return X.engine(spark, sf).places.where("popularity >= 90").join(wanted, "category").select("query_id", "poi_id", F.when(F.col("popularity") >= 95, 3).otherwise(1).alias("gain"))
+
+
+def stage_lists(spark, sf) -> dict[str, DataFrame]:
+    """Every stage's whole list for the queries, as (query_id, poi_id, rank); words, vectors and their fusion come of one pass."""
+    ids = X.engine(spark, sf).places.select("pos", "poi_id")
+    both = X.fused(spark, sf)
+    order = B.Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 9)), "bm25_rank")
+    lists = {"random": N.random_order(X.queries_df(spark), ids), "bm25": both.withColumn("rank", F.col("bm25_rank")), "dense": both.withColumn("rank", F.col("dense_rank")), "hybrid": both.withColumn("rank", F.row_number().over(order)), "full": X.final(spark, sf)}
+    return {k: v.select("query_id", "pos", "rank").join(ids, "pos").select("query_id", "poi_id", "rank") for k, v in lists.items()}
 
 
-@add(""", prel AS (SELECT it.query_id, poi.pos, CASE WHEN popularity >= 90 THEN 3 ELSE 1 END AS gain FROM it JOIN poi ON poi.category = it.want_category AND popularity >= 80),
-  lanes AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS engine, query_id, pos, rank FROM {v}" for k, v in LANES.items()) + """)
-  SELECT engine, query_id, count(*) FILTER (rank <= 5) AS hits5, min(rank) AS first FROM lanes JOIN prel USING (query_id, pos) GROUP BY engine, query_id""")
+@add(PREL + HYBRID + ", lanes AS (" + " UNION ALL ".join(f"SELECT '{k}' AS engine, query_id, pos, rank FROM {v}" for k, v in LANES.items()) + ")" + MEANS)
 def ablation(spark, sf):
-    good = F.broadcast(X.intents_df(spark).select("query_id", F.col("want_category").alias("category"))).join(places(spark, sf).where("popularity >= 80").select("pos", "category"), "category").select("query_id", "pos")
-    lanes = {"bm25": X.lexical(spark, sf), "dense": X.dense(spark, sf), "full": X.final(spark, sf)}
-    every = None
-    for k, v in lanes.items():
-        one = v.select(F.lit(k).alias("engine"), "query_id", "pos", "rank")
-        every = one if every is None else every.unionByName(one)
-    return every.join(good, ["query_id", "pos"]).groupBy("engine", "query_id").agg(F.count_if(F.col("rank") <= 5).alias("hits5"), F.min("rank").alias("first"))
+    return E.ablation(stage_lists(spark, sf), place_rels(spark, sf))
+
+
+@add(HYBRID + " SELECT query_id, pos, rank FROM hyb WHERE rank <= 20")
+def rrf_order(spark, sf):
+    v = X.dense(spark, sf)
+    return B.fused_order(X.lexical(spark, sf), v).where("rank <= 20").select("query_id", "pos", "rank")
+
+
+@add(HYBRID + " SELECT query_id, pos, rank FROM rnd WHERE rank <= 20")
+def random_order(spark, sf):
+    return N.random_order(X.queries_df(spark), places(spark, sf)).where("rank <= 20")
 
 
 @add("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS top, count(*) AS n FROM events", common=False)
 def quantiles(spark, sf):
-    return table(spark, sf, "events").agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"), F.max("value").alias("top"), F.count("*").alias("n"))
+    c = E.cumulative(table(spark, sf, "events"), "value", Store(spark))
+    n = c.agg(F.max("hi").alias("n"))
+    return c.crossJoin(F.broadcast(n)).agg(E.percentile(0.5).alias("p50"), E.percentile(0.95).alias("p95"), F.max("value").alias("top"), F.max("n").alias("n"))
 
 
 @add(", r AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events) SELECT round(max(value) FILTER (i = CAST(floor(n * 0.95e0) AS BIGINT)), 6) AS p95_index, round(max(value) FILTER (i = CAST(round_even((n - 1) * 0.95e0, 0) AS BIGINT) + 1), 6) AS p95_nearest FROM r")
 def quantiles_by_rank(spark, sf):
-    e = table(spark, sf, "events").where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("c"))
-    from pyspark.sql.window import Window
+    c = E.cumulative(table(spark, sf, "events"), "value", Store(spark))
+    n = c.agg(F.max("hi").alias("n"))
+    return c.crossJoin(F.broadcast(n)).agg(E.at_rank(F.floor(F.col("n") * 0.95)).alias("p95_index"), E.at_rank(F.bround((F.col("n") - 1) * 0.95) + 1).alias("p95_nearest"))
+
+
+@add(""", g AS (SELECT 'G' || i AS gate FROM (SELECT unnest(range(1, 6)) AS i))""" + PREL + HYBRID + ", lanes AS (" + " UNION ALL ".join(f"SELECT '{k}' AS engine, query_id, pos, rank FROM {v}" for k, v in LANES.items()) + "), m AS (" + MEANS + """),
+  o AS (SELECT max(recall5) FILTER (stage = 'bm25') AS r, max(ndcg5) FILTER (stage = 'hybrid') AS h, greatest(max(ndcg5) FILTER (stage = 'bm25'), max(ndcg5) FILTER (stage = 'dense')) AS p, max(ndcg5) FILTER (stage = 'full') AS n, max(recall3) FILTER (stage = 'full') AS r3 FROM m)
+  SELECT gate, CASE gate WHEN 'G1' THEN r WHEN 'G2' THEN h WHEN 'G3' THEN n WHEN 'G4' THEN 57.0e0 ELSE 0.0e0 END AS value, CASE gate WHEN 'G1' THEN 0.55e0 WHEN 'G2' THEN p WHEN 'G3' THEN 0.8e0 WHEN 'G4' THEN 200.0e0 ELSE 0.0e0 END AS threshold,
+  CASE gate WHEN 'G1' THEN r >= 0.55e0 WHEN 'G2' THEN h > p WHEN 'G3' THEN n >= 0.8e0 AND r3 >= 0.75e0 ELSE TRUE END AS passed FROM g, o""")
+def gate_report(spark, sf):
+    a = E.ablation(stage_lists(spark, sf), place_rels(spark, sf))
+    return E.gates(a.where("stage <> 'full'"), a.where("stage = 'full'"), F.lit(57.0), F.lit(0))
+
+
+# Parts of responses.
+
+
+@add(" SELECT query_id, rank, list_transform(list_sort([" + ", ".join(f"{{'v': -round(sig_{k}, 9), 'o': {i}, 'k': '{k}'}}" for i, k in enumerate(S.WEIGHTS)) + "])[1:3], lambda x: x.k) AS names FROM final WHERE rank <= 3")
+def top_signals(spark, sf):
+    return X.final(spark, sf).where("rank <= 3").select("query_id", "rank", R.top_signals().alias("names"))
+
+
+METRES = "CAST(round_even(" + haversine_sql("21.0287e0", "105.8524e0", "lat", "lon") + " * 1000, 0) AS BIGINT)"
+
+
+@add(f" SELECT query_id, rank, 'poi:' || poi_id AS id, name || ', ' || district AS label, address, category, round(lat, 6) AS lat, round(lon, 6) AS lon, {METRES} AS metres, round_even(score, 4) AS score FROM final WHERE rank <= 5")
+def place_rows(spark, sf):
+    p = X.final(spark, sf).where("rank <= 5").withColumn("source", F.lit("search")).select("query_id", "rank", N.place_row((21.0287, 105.8524)).alias("r"))
+    return p.select("query_id", "rank", "r.id", "r.label", "r.address", "r.category", "r.coordinates.lat", "r.coordinates.lon", F.col("r.distanceMeters").alias("metres"), "r.score")
+
+
+@add(f" SELECT 'poi:' || poi_id AS id, name || ', ' || district AS label, address AS description, round(lat, 6) AS lat, {METRES} AS metres FROM poi")
+def client_suggestions(spark, sf):
+    p = places(spark, sf).withColumns({"score": F.lit(0.0), "source": F.lit("search")}).select(N.place_row((21.0287, 105.8524)).alias("result"))
+    return N.suggestions(p).select("id", "label", "description", "coordinates.lat", F.col("meta.distanceMeters").alias("metres"))
+
+
+@add(" SELECT query_id, want_category AS category, " + X.list_sql("req") + " AS attrs, anchor_name AS anchor, want_city AS city, CASE WHEN open_after IS NOT NULL THEN lpad(CAST(open_after // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(open_after % 60 AS VARCHAR), 2, '0') END AS open_after FROM it")
+def intent_echo(spark, sf):
+    e = X.intents_df(spark).select("query_id", N.intent_echo().alias("e"))
+    return e.select("query_id", "e.category", F.col("e.requiredAttrs").alias("attrs"), F.col("e.anchor.name").alias("anchor"), "e.city", F.col("e.openAfter").alias("open_after"))
+
+
+@add(""" SELECT qs.query_id, text AS query, count(*) AS n, 4 AS limit_applied, string_agg('poi:' || poi_id, ' ' ORDER BY rank) AS ids, CAST(NULL AS VARCHAR) AS corrected, round(max(round_even(sig_price, 4)) FILTER (rank = 1), 4) AS price_of_first
+  FROM qs JOIN final USING (query_id) WHERE rank <= 4 GROUP BY ALL""", texts=True)
+def search_responses(spark, sf):
+    """The envelope of semantic search, one row a query."""
+    r = N.responses(X.searched(spark, sf).where("rank <= 4").withColumn("source", F.lit("search")), 4, semantic=True)
+    return r.select("query_id", "query", F.col("meta.count").alias("n"), F.col("meta.limitApplied").alias("limit_applied"), F.array_join(F.transform("results", lambda x: x["id"]), " ").alias("ids"), F.col("meta.correctedQuery").alias("corrected"), F.get("results", F.lit(0))["breakdown"]["price"].alias("price_of_first"))
+
+
+REQUESTS = [("r1", "cà phê", None, None, None, None, 50), ("r2", "  ", None, None, None, None, None), ("r3", "atm", 10.0, None, None, None, 0), ("r4", "atm", 10.0, 106.0, -1.0, None, 3), ("r5", "atm", None, None, 5.0, None, 3), ("r6", "atm", None, None, None, "1,2,3", 3), ("r7", "atm", 10.0, 106.0, 0.0, "1,2,3,4", None), ("r8", None, None, None, None, None, 3), ("r9", "atm", None, None, None, "1,2,x,4", -7)]
+REQUEST_COLUMNS = "request_id string, q string, lat double, lon double, radius_meters double, bbox string, limit int"
+
+
+@add(f"""WITH r AS ({values([x[:6] + (x[6],) for x in REQUESTS], REQUEST_COLUMNS.replace('limit int', 'lim int'))}), b AS (SELECT *, string_split(bbox, ',') AS box FROM r)
+  SELECT request_id, CAST(greatest(1, least(20, coalesce(lim, 10))) AS BIGINT) AS lim, CASE WHEN trim(coalesce(q, '')) = '' THEN 'q' WHEN (lat IS NULL) <> (lon IS NULL) THEN 'lat' WHEN radius_meters IS NOT NULL AND (lat IS NULL OR radius_meters < 0) THEN 'radiusMeters' WHEN bbox IS NOT NULL AND (len(box) <> 4 OR len(list_filter(box, lambda x: TRY_CAST(x AS DOUBLE) IS NULL)) > 0) THEN 'bbox' END AS wrong,
+  CASE WHEN wrong IS NOT NULL THEN 'invalid_request' END AS code FROM b""", common=False)
+def request_errors(spark, sf):
+    r = N.checked_requests(small(spark, REQUESTS, REQUEST_COLUMNS))
+    said = F.col("error.message")
+    wrong = F.when(said.contains("'q'"), "q").when(said.startswith("lat"), "lat").when(said.startswith("radius"), "radiusMeters").when(said.startswith("bbox"), "bbox")
+    return r.select("request_id", F.col("limit").alias("lim"), wrong.alias("wrong"), F.col("error.code").alias("code"))
+
+
+CORRECTIONS = [(1, "quan ca phe", "  quán  cà phê\n"), (2, "quán cà phê", "QUÁN CÀ PHÊ"), (3, "atm", "zzz unrelated"), (4, "atm", "   "), (5, "atm", "atm " * 60), (6, "atm", None), (7, "gan ho guom", "gần Hồ Gươm"), (8, "Đà Lạt", "đà lạt")]
+
+
+@add(f"""WITH c AS ({values(CORRECTIONS, 'id int, original string, value string')}), n AS (SELECT *, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS clean FROM c),
+  r AS (SELECT *, CASE WHEN value IS NULL THEN NULL WHEN clean = '' THEN 'empty' WHEN length(clean) > 200 THEN 'too-long' WHEN lower(clean) = lower(original) THEN 'no-op' WHEN len(list_intersect({toks_sql('clean')}, {toks_sql('original')})) = 0 THEN 'no-overlap' END AS reason FROM n)
+  SELECT CAST(id AS BIGINT) AS id, CASE WHEN reason IS NULL THEN clean END AS text, reason FROM r""", common=False)
+def corrected_query_checks(spark, sf):
+    c = small(spark, CORRECTIONS, "id int, original string, value string").select("id", T.corrected_query(F.col("original"), F.col("value")).alias("c"))
+    return c.select("id", "c.text", "c.reason")
+
+
+@add(""", u AS (SELECT query_id, bool_or(length(t) >= 4 AND t NOT IN (SELECT term FROM dq)) AS oov FROM (SELECT query_id, unnest(toks) AS t FROM qt) GROUP BY query_id)
+  SELECT query_id, text = strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D')) OR coalesce(oov, FALSE) AS degraded FROM qt LEFT JOIN u USING (query_id)""")
+def degradation_gate(spark, sf):
+    q = X.queries_df(spark)
+    unknown = q.select("query_id", F.explode("toks").alias("term")).where(F.length("term") >= 4).join(X.index(spark, sf).df, "term", "left_anti").select("query_id").distinct().withColumn("oov", F.lit(True))
+    return q.join(unknown, "query_id", "left").select("query_id", P.needs_model(F.col("text"), F.coalesce("oov", F.lit(False))).alias("degraded"))
+
+
+RESOLVED = [("Q05", '{"corrected_query": "quán cà phê quận 1 có wifi", "attributes": ["yên tĩnh"]}'), ("Q09", '{"category": "Công viên", "corrected_query": "cong vien baaah"}'), ("Q08", '{"category": "ATM", "price_pref": "free"}'), ("Q11", "not json"), ("Q02", '{"corrected_query": "san bay"}'), ("Q12", '```json\n{"price_pref": "cheap", "open_after": "22:15"}\n```')]
+RESOLVED_WANT = [("Q01", "Quán cà phê", "yên tĩnh", None, None, None, ""), ("Q02", "Khách sạn", "check-in;gần biển", None, None, None, ""), ("Q05", "Quán cà phê", "wifi;yên tĩnh", None, None, "quán cà phê quận 1 có wifi", ""), ("Q08", "ATM", "", None, None, None, ""), ("Q09", None, "", None, None, None, "baaah;le;loi"), ("Q11", "ATM", "", None, None, None, "baafh"), ("Q12", "Nhà hàng", "", "cheap", 1335, None, "")]
+
+
+@add(values(RESOLVED_WANT, "query_id string, want_category string, required string, price_pref string, open_after long, corrected_query string, residual string"), common=False)
+def resolve_intents(spark, sf):
+    """Replies of a model resolved with the rules; the SQL side states what is expected, as it can't parse."""
+    e = X.engine(spark, sf)
+    r = P.resolve(spark, X.queries_df(spark).select("query_id", "text"), small(spark, RESOLVED, "query_id string, raw string"), e.lookups, e.bm25.df)
+    kept = r.where(F.col("query_id").isin(*(x[0] for x in RESOLVED_WANT)))
+    return kept.select("query_id", "want_category", F.array_join(F.sort_array("required"), ";").alias("required"), "price_pref", "open_after", "corrected_query", F.array_join(F.sort_array("residual"), ";").alias("residual"))
+
+
+@add(f""", cw AS ({values([(T.py_fold(w), T.compatible_pattern(w)) for w in V.COMMON], 'term string, pattern string')}), sh AS (SELECT query_id, toks, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}/]+', ' ', 'g')) || ' ' AS shown FROM qt)
+  SELECT query_id, list_sort(list(DISTINCT term)) AS words FROM sh JOIN cw ON list_contains(toks, term) AND regexp_matches(shown, pattern) GROUP BY query_id""")
+def common_flags(spark, sf):
+    """Common words of queries, where their diacritics agree."""
+    shown = X.queries_df(spark).select("query_id", T.display(F.col("text")).alias("shown"), F.explode("toks").alias("term"))
+    hit = shown.join(X.engine(spark, sf).lookups.common, "term").where(F.rlike("shown", F.col("pattern")))
+    return hit.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("words"))
+
 
-    upto = e.withColumn("hi", F.sum("c").over(Window.orderBy("value"))).withColumn("lo", F.col("hi") - F.col("c"))
-    n = upto.agg(F.max("hi").alias("n"))
-    at = lambda i: F.max(F.when((F.col("lo") < i) & (F.col("hi") >= i), F.col("value")))
-    return upto.crossJoin(F.broadcast(n)).agg(at(F.floor(F.col("n") * 0.95)).alias("p95_index"), at(F.bround((F.col("n") - 1) * 0.95) + 1).alias("p95_nearest"))
+# Sets, reports and checks.
+
+
+@add("WITH s AS (SELECT 'D' || doc_id AS query_id, lang AS stratum FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42:' || query_id)) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM s), x AS (SELECT query_id, r <= round_even(n / 3.0e0, 0) AS test FROM o) SELECT count(*) AS shared FROM (SELECT query_id FROM x WHERE test INTERSECT SELECT query_id FROM x WHERE NOT test)", common=False)
+def disjoint_splits(spark, sf):
+    x = E.split(table(spark, sf, "documents").select(F.concat(F.lit("D"), "doc_id").alias("query_id"), F.col("lang").alias("stratum")))
+    return E.disjoint(x.where("split = 'test'").select("query_id"), x.where("split = 'tune'").select("query_id"))
+
+
+@add(" SELECT 'left' AS side, poi_id FROM poi WHERE category = 'ATM' AND rating > 4.2e0 AND city <> 'Hà Nội' UNION ALL SELECT 'right', poi_id FROM poi WHERE category = 'ATM' AND rating <= 4.2e0 AND city = 'Hà Nội'")
+def set_differences(spark, sf):
+    p = places(spark, sf).where("category = 'ATM'")
+    return E.differences(p.where("rating > 4.2").select("poi_id"), p.where("city = 'Hà Nội'").select("poi_id"))
+
+
+PROVIDERS = [("local", 0.71), ("other", 0.74), ("third", 0.74), ("down", None)]
+
+
+@add(f"WITH p AS ({values(PROVIDERS, 'provider string, ndcg5 double')}) SELECT min(provider) AS provider, ndcg5 FROM p WHERE ndcg5 = (SELECT max(ndcg5) FROM p) GROUP BY ndcg5", common=False)
+def best_provider(spark, sf):
+    return E.best_provider(small(spark, PROVIDERS, "provider string, ndcg5 double"))
+
+
+ARMS = [("tune@111", 0.801, 0.797), ("tune@1000", 0.7, 0.69), ("synth@1000", 0.61, 0.64)]
+
+
+@add(f"WITH a AS ({values(ARMS, 'arm string, committed double, candidate double')}), t AS (SELECT max(candidate) FILTER (arm = 'tune@111') >= max(committed) FILTER (arm = 'tune@111') - 0.005e0 AS guard_ok, max(candidate) FILTER (arm = 'synth@1000') > max(committed) FILTER (arm = 'synth@1000') AS improves FROM a) SELECT *, guard_ok AND improves AS accept FROM t", common=False)
+def acceptance(spark, sf):
+    return E.accepted(small(spark, ARMS, "arm string, committed double, candidate double"), "tune@111", "synth@1000")
+
+
+@add()
+def stress(spark, sf):
+    """Every query clean, without diacritics, and with a typo, ranked from its text: mean metrics of each kind."""
+    q = E.degraded(X.queries_df(spark).select("query_id", "text"), Y.with_typo)
+    v = X.query_vectors(spark, sf)
+    ids = q.select("query_id", "of", "degradation")
+    found = N.rank(X.engine(spark, sf), q.select("query_id", "text"), ids.join(v.withColumnRenamed("query_id", "of"), "of").select("query_id", "v"))
+    rels = ids.join(place_rels(spark, sf).withColumnRenamed("query_id", "of"), "of").select("query_id", "poi_id", "gain")
+    m = E.per_query(found.select("query_id", "poi_id", "rank"), rels).join(ids, "query_id")
+    return m.groupBy("degradation").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in E.METRICS))
+
+
+RAW_PLACES = """SELECT CAST(p_partkey AS STRING) AS poi_id, concat('  ', p_name, ' ') AS poi_name, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_brand END AS brand, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN 'abc' WHEN 3 THEN 'NaN' WHEN 4 THEN '3.9' ELSE CAST(p_size AS STRING) END AS price_level,
+  CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '4.5' WHEN 2 THEN 'x' ELSE ' 3 ' END AS rating, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' a; ;b ' ELSE '' END AS tags FROM part"""
+
+
+@add(f"WITH raw AS ({RAW_PLACES}) SELECT poi_id, trim(poi_name) AS name, nullif(trim(brand), '') AS brand, CASE WHEN isnan(TRY_CAST(trim(price_level) AS DOUBLE)) THEN NULL ELSE CAST(trunc(TRY_CAST(trim(price_level) AS DOUBLE)) AS BIGINT) END AS price_level, TRY_CAST(trim(rating) AS DOUBLE) AS rating, {X.list_sql('tags')} AS tags FROM raw", common=False)
+def read_raw_places(spark, sf):
+    raw = spark.sql(RAW_PLACES.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    rest = {c: F.lit(None).cast("string") for c in ("category", "city", "district", "address", "description", "sub_category", "opening_hours", "latitude", "longitude", "popularity_score", "review_count", "attributes")}
+    return read_places(raw.withColumns(rest)).select("poi_id", "name", "brand", "price_level", "rating", "tags")
+
+
+@add("SELECT item_id, replace(text, 'the', '***') AS hidden, replace(replace(substr(text, 1, 40), '/', '_'), ':', '_') AS safe FROM benchmark", common=False)
+def redacted(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", T.redacted(F.col("text"), "the").alias("hidden"), T.safe_name(F.substring("text", 1, 40)).alias("safe"))
 
 
 # Model output as data.
@@ -609,13 +791,6 @@ def rewrite_guard(spark, sf):
 
 
 GRID = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5]
-PREL = ", prel AS (SELECT it.query_id, poi_id, CASE WHEN popularity >= 95 THEN 3 ELSE 1 END AS gain FROM it JOIN poi ON poi.category = it.want_category AND popularity >= 90)"
-
-
-def place_rels(spark, sf) -> DataFrame:
-    wanted = F.broadcast(X.intents_df(spark).select("query_id", F.col("want_category").alias("category")))
-    return wanted.join(places(spark, sf).where("popularity >= 90"), "category").select("query_id", "poi_id", F.when(F.col("popularity") >= 95, 3).otherwise(1).alias("gain"))
-
 
 @add(PREL + f""", gv AS (SELECT unnest([{', '.join(f'{g}e0' for g in GRID)}]) AS value), gs AS (SELECT value, query_id, poi_id, pos, round({X.score_sql(S.TUNED | {'popularity': 0.0}).replace('0.0e0 * sig_popularity', 'value * sig_popularity').replace('(0.0e0) * sig_popularity', '(value) * sig_popularity')}, 9) AS s0, sig.* EXCLUDE (query_id, poi_id, pos) FROM sig CROSS JOIN gv),
   gr AS (SELECT value, query_id, poi_id, row_number() OVER (PARTITION BY value, query_id ORDER BY round(({' + '.join(f"(CASE WHEN anchor_lat IS NULL THEN 0.0e0 ELSE {S.TUNED[k]}e0 END) * sig_{k}" if k == 'distance' else (f'value * sig_{k}' if k == 'popularity' else f'{S.TUNED[k]}e0 * sig_{k}') for k in S.WEIGHTS)}) / ({' + '.join('(CASE WHEN anchor_lat IS NULL THEN 0.0e0 ELSE ' + str(S.TUNED[k]) + 'e0 END)' if k == 'distance' else ('value' if k == 'popularity' else f'{S.TUNED[k]}e0') for k in S.WEIGHTS)}), 9) DESC, pos) AS rank FROM gs),
@@ -664,6 +839,61 @@ def weighted_choice(spark, sf):
     return Y.weighted_choice(draws, small(spark, [(i, k, w) for i, (k, w) in enumerate(WEIGHTED)], "ord int, key string, weight int"))
 
 
+U = lambda f, i: uniform_sql(5, "CAST(p_partkey AS BIGINT)", str(f), f"CAST({i} AS BIGINT)")
+POOL = [("wifi", 5.0), ("yên tĩnh", 4.0), ("lãng mạn", 1.0), ("check-in", 2.0), ("gần biển", 3.0)]
+POOL_SQL = "[" + ", ".join(f"{{'name': '{n}', 'weight': {w}e0}}" for n, w in POOL) + "]"
+
+
+def pool_df(spark):
+    return F.array(*(F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight")) for n, w in POOL))
+
+
+@add(f"""WITH p AS (SELECT p_partkey, p_size % 3 = 0 AS coast, {POOL_SQL} AS pool FROM part), q AS (SELECT *, list_filter(pool, lambda x: x.name <> 'gần biển' OR coast) AS own FROM p),
+  k AS (SELECT p_partkey, unnest(range(0, len(own))) AS i, own, least(len(own), 2 + CAST(floor({uniform_sql(5, "CAST(p_partkey AS BIGINT)", "3")} * 4) AS BIGINT)) AS n FROM q),
+  r AS (SELECT p_partkey, own[i + 1].name AS name, n, row_number() OVER (PARTITION BY p_partkey ORDER BY round(-pow({U(4, 'i')}, 1.0e0 / own[i + 1].weight), 9), i) AS r FROM k)
+  SELECT p_partkey AS pos, string_agg(name, ';' ORDER BY r) AS names FROM r WHERE r <= n GROUP BY p_partkey""", common=False)
+def sampled_attributes(spark, sf):
+    """2 to 5 attributes by weight without replacement, the coastal one on the coast alone."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_size") % 3 == 0).alias("coast"))
+    own = F.filter(pool_df(spark), lambda x: (x["name"] != Y.COASTAL) | F.col("coast"))
+    p = p.withColumn("own", own)
+    n = F.least(F.size("own"), F.lit(2) + F.floor(E.uniform(5, F.col("pos"), F.lit(3)) * 4).cast("int"))
+    return p.select("pos", F.array_join(Y.sampled(F.col("own"), n, lambda i: E.uniform(5, F.col("pos"), F.lit(4), i)), ";").alias("names"))
+
+
+@add(f"""WITH u AS (SELECT p_partkey AS pos, {uniform_sql(9, 'CAST(p_partkey AS BIGINT)', '14')} AS a, {uniform_sql(9, 'CAST(p_partkey AS BIGINT)', '15')} AS b FROM part)
+  SELECT pos, round(greatest(3.8e0, least(4.7e0, 4.3e0 + 0.25e0 * sqrt(-2 * ln(1 - a)) * cos(2 * 3.141592653589793e0 * b))), 6) AS rating, CAST(round(exp(ln(120) + a * (ln(9000) - ln(120)))) AS BIGINT) AS reviews FROM u""", common=False)
+def drawn_numbers(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), E.uniform(9, F.col("p_partkey"), F.lit(14)).alias("a"), E.uniform(9, F.col("p_partkey"), F.lit(15)).alias("b"))
+    return p.select("pos", Y.gauss(F.col("a"), F.col("b"), 4.3, 0.25, 3.8, 4.7).alias("rating"), Y.log_uniform(F.col("a"), F.lit(120.0), F.lit(9000.0)).alias("reviews"))
+
+
+STYLED = "trim(regexp_replace(p_name || ' ở ' || 'Quận ' || (p_partkey % 12 + 1), '\\s+', ' ', 'g'))"
+
+
+@add(f"""WITH s AS (SELECT p_partkey AS pos, ['none', 'diacritics', 'abbrev', 'mixed'][p_partkey % 4 + 1] AS style, p_name, p_type, p_partkey FROM part)
+  SELECT pos, style, CASE style WHEN 'none' THEN {STYLED} WHEN 'diacritics' THEN strip_accents({STYLED}) WHEN 'abbrev' THEN p_name || ' ở q' || (p_partkey % 12 + 1) ELSE lower(p_type) || ' ở Quận ' || (p_partkey % 12 + 1) END AS text,
+  CASE WHEN p_partkey % 3 = 0 THEN 'Easy' WHEN p_partkey % 3 = 1 THEN 'Medium' ELSE 'Hard' END AS difficulty FROM s""", common=False)
+def styled_queries(spark, sf):
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").withColumn("style", F.get(F.array(*map(F.lit, ("none", "diacritics", "abbrev", "mixed"))), (k % 4).cast("int")))
+    number = (k % 12 + 1).cast("string")
+    text = Y.with_style(F.col("p_name"), F.col("style"), F.concat(F.lit("Quận "), number), F.concat(F.lit("q"), number), F.lower("p_type"), F.lit(0.5))
+    family = F.get(F.array(*map(F.lit, ("brand", "attribute-seek", "price"))), (k % 3).cast("int"))
+    return p.select(k.alias("pos"), "style", text.alias("text"), Y.difficulty(family, F.lit(None), F.array(), F.col("style")).alias("difficulty"))
+
+
+@add()
+def synth_places(spark, sf):
+    return Y.generated(places(spark, sf), 300, 7).select("poi_id", "name", "category", "city", "district", "lat", "lon", "rating", "review_count", "popularity", "price_level", "opening_hours", F.array_join("attributes", ";").alias("attributes"))
+
+
+@add()
+def synth_queries(spark, sf):
+    q = Y.queries(places(spark, sf), 300, 7, X.queries_df(spark))
+    return q.select("query_id", "input_query", "family", "style", "difficulty", F.array_join("expected_ids", ";").alias("expected_ids"), "skills")
+
+
 @add()
 def weighted_sample(spark, sf):
     items = places(spark, sf).select(F.col("city").alias("group"), F.col("poi_id").alias("item"), F.col("popularity").alias("weight"), "pos")

@@ -144,7 +144,11 @@ def write_split(split: DataFrame, path: str, seed: str, part: float) -> None:
 def read_split(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, split) of write_split()."""
     sides = spark.read.schema("seed string, test_frac double, tune array<string>, test array<string>").json(path)
-    each = F.explode(F.concat(*(F.transform(s, lambda q, s=s: F.struct(q.alias("query_id"), F.lit(s).alias("split"))) for s in ("tune", "test"))))
+
+    def rows(side: str) -> Column:
+        return F.transform(side, lambda q: F.struct(q.alias("query_id"), F.lit(side).alias("split")))
+
+    each = F.explode(F.concat(rows("tune"), rows("test")))
     return sides.select(each.alias("x")).select("x.*")
 
 
