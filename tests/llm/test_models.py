@@ -153,12 +153,6 @@ def test_packing_round_trip(spark, monkeypatch):
     assert packing.pack(docs.limit(0), BPE).count() == 0
 
 
-def test_neighbours_share_words():
-    numbers = [np.array(x) for x in ([1, 2, 3, 9], [4, 5, 6], [1, 2, 3, 8], [4, 5, 7])]
-    order = list(packing.order(np.concatenate(numbers), np.cumsum([len(x) for x in numbers])))
-    assert sorted(order) == [0, 1, 2, 3] and abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1
-
-
 def test_html(spark):
     field = html.default_field()
     test = html.labelled(html.training_pages(150, seed=5))
