@@ -58,8 +58,10 @@ def fit(docs: DataFrame) -> list[tuple[str, bytes]]:
     keys = known.where(F.col("lang").isin(list(often))).select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("_h"))
     first = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS).dropDuplicates(["lang", "doc_id", "_h"])
     # At most DOCS keys for each language: the texts that they are of are found without a shuffle.
-    texts = known.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("_h"), passages(F.col("text")).alias("text"))
-    rows = texts.join(F.broadcast(first), (texts.lang == first.lang) & texts.doc_id.eqNullSafe(first.doc_id) & (texts._h == first._h)).select(texts.lang, "rank", "text").distinct().orderBy("lang", F.desc("rank"), "text").collect()
+    texts = known.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("_h"), "text")
+    chosen = texts.join(F.broadcast(first), (texts.lang == first.lang) & texts.doc_id.eqNullSafe(first.doc_id) & (texts._h == first._h)).select(texts.lang, "rank", "text").distinct()
+    # Passages are cut from chosen texts only: distinct() lies between them and the join.
+    rows = chosen.select("lang", "rank", passages(F.col("text")).alias("text")).distinct().orderBy("lang", F.desc("rank"), "text").collect()
     found = defaultdict(list)
     for r in rows:
         found[r.lang].append(r.text)
