@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages; each works on all that the one before it has kept."""
+"""A corpus pipeline of five stages; each works on all that the one before it has kept.
+
+Each stage takes documents of any further columns, whatever their names. Null and empty texts, null ids, sources and languages pass: an empty text is
+not toxic, alone in its class, has no passage and no tokens, and is packed as its end id. Rows that repeat a document are
+one document to near_duplicates, if they have an id, and stay as often as they occur in the others. No documents give no rows.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +33,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources have them."""
+    """Documents as often as the target weights of their sources have them, in the mixture's order of epochs and blocks."""
     return mixed(spark, docs)
 
 
@@ -41,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("packing", packing)]
 
-#: Models and iterated joins are beyond SQL; tests hold run() against plain versions of the stages.
+#: Models and iterated joins are beyond SQL; tests/llm/test_pipeline_plain.py holds the stages and run() against plain versions.
 ORACLE_SQL = None
 
 
