@@ -135,7 +135,8 @@ def _contexts(vocabulary: pa.Array):
 def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds that maximise the likelihood of the grades, with a ridge, by Adam steps."""
     n = len(grade)
-    share = np.clip([np.mean(grade > k) if n else 0.0 for k in range(grades)], 0.5 / max(n, 1), 1 - 0.5 / max(n, 1))
+    # Without rows nothing is thought to be toxic.
+    share = np.clip([np.mean(grade > k) for k in range(grades)], 0.5 / n, 1 - 0.5 / n) if n else np.full(grades, 1e-3)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(grades))
     p = np.concatenate([np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
