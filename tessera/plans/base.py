@@ -242,8 +242,8 @@ def searched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Types and roundings that both engines share: whole numbers long, doubles to 6 places."""
-    kinds = {"int": lambda c: c.cast("long"), "bigint": lambda c: c, "double": lambda c: F.round(c, 6), "float": lambda c: F.round(c.cast("double"), 6)}
+    """Types and roundings that both engines share: whole numbers long, doubles to 6 places, lists joined."""
+    kinds = {"array<string>": lambda c: F.array_join(c, "|"), "int": lambda c: c.cast("long"), "bigint": lambda c: c, "double": lambda c: F.round(c, 6), "float": lambda c: F.round(c.cast("double"), 6)}
     return df.select(*(kinds[t](F.col(c)).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes))
 
 
@@ -254,7 +254,7 @@ class Registry:
         self.queries: dict = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, sql: str | None = None, common: bool = True, name: str | None = None, texts: bool = False):
+    def add(self, sql: str | None = None, common: bool = True, name: str | None = None, texts: bool = False, lists: tuple[str, ...] = ()):
         def wrap(f):
             key = name or f.__name__
 
@@ -265,6 +265,8 @@ class Registry:
             self.queries[key] = run
             if sql is not None:
                 self.sql[key] = ((TEXTS if texts else COMMON) if common else "") + sql
+                if lists:
+                    self.sql[key] = f"SELECT * REPLACE ({', '.join(f"array_to_string({c}, '|') AS {c}" for c in lists)}) FROM ({self.sql[key]})"
             return f
 
         return wrap

@@ -253,13 +253,13 @@ def intent_rank(spark, sf):
     return X.final(spark, sf).where("rank <= 10").select("query_id", "pos", "poi_id", "rank", "score", "level", "near")
 
 
-@add(" SELECT query_id, want_category, list_sort(" + X.list_sql("req") + ") AS required, want_city, want_district, CAST(open_after AS BIGINT) AS open_after, price_pref, nearest, anchor_name, round(anchor_lat, 6) AS anchor_lat, round(anchor_lon, 6) AS anchor_lon, list_sort(" + X.list_sql("residual") + ") AS residual, " + X.list_sql("terms") + " AS terms FROM it", texts=True)
+@add(" SELECT query_id, want_category, list_sort(" + X.list_sql("req") + ") AS required, want_city, want_district, CAST(open_after AS BIGINT) AS open_after, price_pref, nearest, anchor_name, round(anchor_lat, 6) AS anchor_lat, round(anchor_lon, 6) AS anchor_lon, list_sort(" + X.list_sql("residual") + ") AS residual, " + X.list_sql("terms") + " AS terms FROM it", texts=True, lists=('required', 'residual', 'terms'))
 def parse_intents(spark, sf):
     p = P.parse(spark, X.queries_df(spark).select("query_id", "text"), X.engine(spark, sf).lookups)
     return p.select("query_id", "want_category", F.sort_array("required").alias("required"), "want_city", "want_district", "open_after", "price_pref", "nearest", "anchor_name", "anchor_lat", "anchor_lon", F.sort_array("residual").alias("residual"), "terms")
 
 
-@add(" SELECT query_id, list_sort(string_split(CASE WHEN query_id = 'Q08' THEN '' ELSE (" + X.LEXICAL_SQL + ") END, ' ')) AS words FROM qs", texts=True)
+@add(" SELECT query_id, list_sort(string_split(CASE WHEN query_id = 'Q08' THEN '' ELSE (" + X.LEXICAL_SQL + ") END, ' ')) AS words FROM qs", texts=True, lists=('words',))
 def lexical_words(spark, sf):
     """The words by which texts are retrieved: expanded, corrected, without the district."""
     e = X.engine(spark, sf)
@@ -291,7 +291,7 @@ def category_filter(spark, sf):
     return places(spark, sf).join(q, "category").select("query_id", "pos")
 
 
-@add(" SELECT query_id, list_sort(CASE WHEN subject_ok AND len(tm) > 0 THEN res ELSE list_filter(res, lambda t: NOT list_contains(tm, t)) END) AS unexplained FROM flags GROUP BY ALL")
+@add(" SELECT query_id, list_sort(CASE WHEN subject_ok AND len(tm) > 0 THEN res ELSE list_filter(res, lambda t: NOT list_contains(tm, t)) END) AS unexplained FROM flags GROUP BY ALL", lists=('unexplained',))
 def discredited(spark, sf):
     """What is left unexplained of a query once its vectors have had their say."""
     ok = R.corroborated(X.intents_df(spark).select("query_id", "terms"), X.dense(spark, sf), X.engine(spark, sf).places)
@@ -608,7 +608,7 @@ def gate_report(spark, sf):
 # Parts of responses.
 
 
-@add(" SELECT query_id, rank, list_transform(list_sort([" + ", ".join(f"{{'v': -round(sig_{k}, 9), 'o': {i}, 'k': '{k}'}}" for i, k in enumerate(S.WEIGHTS)) + "])[1:3], lambda x: x.k) AS names FROM final WHERE rank <= 3")
+@add(" SELECT query_id, rank, list_transform(list_sort([" + ", ".join(f"{{'v': -round(sig_{k}, 9), 'o': {i}, 'k': '{k}'}}" for i, k in enumerate(S.WEIGHTS)) + "])[1:3], lambda x: x.k) AS names FROM final WHERE rank <= 3", lists=('names',))
 def top_signals(spark, sf):
     return X.final(spark, sf).where("rank <= 3").select("query_id", "rank", R.top_signals().alias("names"))
 
@@ -628,7 +628,7 @@ def client_suggestions(spark, sf):
     return N.suggestions(p).select("id", "label", "description", "coordinates.lat", F.col("meta.distanceMeters").alias("metres"))
 
 
-@add(" SELECT query_id, want_category AS category, " + X.list_sql("req") + " AS attrs, anchor_name AS anchor, want_city AS city, CASE WHEN open_after IS NOT NULL THEN lpad(CAST(open_after // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(open_after % 60 AS VARCHAR), 2, '0') END AS open_after FROM it")
+@add(" SELECT query_id, want_category AS category, " + X.list_sql("req") + " AS attrs, anchor_name AS anchor, want_city AS city, CASE WHEN open_after IS NOT NULL THEN lpad(CAST(open_after // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(open_after % 60 AS VARCHAR), 2, '0') END AS open_after FROM it", lists=('attrs',))
 def intent_echo(spark, sf):
     e = X.intents_df(spark).select("query_id", N.intent_echo().alias("e"))
     return e.select("query_id", "e.category", F.col("e.requiredAttrs").alias("attrs"), F.col("e.anchor.name").alias("anchor"), "e.city", F.col("e.openAfter").alias("open_after"))
@@ -689,7 +689,7 @@ def resolve_intents(spark, sf):
 
 
 @add(f""", cw AS ({values([(T.py_fold(w), T.compatible_pattern(w)) for w in V.COMMON], 'term string, pattern string')}), sh AS (SELECT query_id, toks, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}/]+', ' ', 'g')) || ' ' AS shown FROM qt)
-  SELECT query_id, list_sort(list(DISTINCT term)) AS words FROM sh JOIN cw ON list_contains(toks, term) AND regexp_matches(shown, pattern) GROUP BY query_id""")
+  SELECT query_id, list_sort(list(DISTINCT term)) AS words FROM sh JOIN cw ON list_contains(toks, term) AND regexp_matches(shown, pattern) GROUP BY query_id""", lists=('words',))
 def common_flags(spark, sf):
     """Common words of queries, where their diacritics agree."""
     shown = X.queries_df(spark).select("query_id", T.display(F.col("text")).alias("shown"), F.explode("toks").alias("term"))
@@ -744,7 +744,7 @@ RAW_PLACES = """SELECT CAST(p_partkey AS STRING) AS poi_id, concat('  ', p_name,
   CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '4.5' WHEN 2 THEN 'x' ELSE ' 3 ' END AS rating, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' a; ;b ' ELSE '' END AS tags FROM part"""
 
 
-@add(f"WITH raw AS ({RAW_PLACES}) SELECT poi_id, trim(poi_name) AS name, nullif(trim(brand), '') AS brand, CASE WHEN isnan(TRY_CAST(trim(price_level) AS DOUBLE)) THEN NULL ELSE CAST(trunc(TRY_CAST(trim(price_level) AS DOUBLE)) AS BIGINT) END AS price_level, TRY_CAST(trim(rating) AS DOUBLE) AS rating, {X.list_sql('tags')} AS tags FROM raw", common=False)
+@add(f"WITH raw AS ({RAW_PLACES}) SELECT poi_id, trim(poi_name) AS name, nullif(trim(brand), '') AS brand, CASE WHEN isnan(TRY_CAST(trim(price_level) AS DOUBLE)) THEN NULL ELSE CAST(trunc(TRY_CAST(trim(price_level) AS DOUBLE)) AS BIGINT) END AS price_level, TRY_CAST(trim(rating) AS DOUBLE) AS rating, {X.list_sql('tags')} AS tags FROM raw", common=False, lists=('tags',))
 def read_raw_places(spark, sf):
     raw = spark.sql(RAW_PLACES.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
     rest = {c: F.lit(None).cast("string") for c in ("category", "city", "district", "address", "description", "sub_category", "opening_hours", "latitude", "longitude", "popularity_score", "review_count", "attributes")}
