@@ -234,9 +234,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     each = classes(spark, docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("class_id") == F.col("doc_id")).alias("first"))
     kept = scratch.write(each.where("first").select("doc_id", "rows"))
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    once = rows.join(kept.where(F.col("rows") == 1), "doc_id", "left_semi").select("row")
-    # Only ids of several rows are gathered: a smaller hash goes first, and rows of equal hashes are as good as equal.
-    several = rows.join(kept.where(F.col("rows") > 1), "doc_id", "left_semi")
-    first = several.groupBy("doc_id", "text").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
-    return once.unionByName(first).select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    # The whole row is dealt out once, with its text once; ids of several rows are a table of their own, mostly an empty one.
+    rows = docs.select("doc_id", F.struct("*").alias("row"))
+    out = rows.join(kept.where(F.col("rows") == 1), "doc_id", "left_semi").select("row")
+    again = scratch.write(kept.where(F.col("rows") > 1).select("doc_id"))
+    if not again.isEmpty():
+        # A smaller hash goes first, and rows of equal hashes are as good as equal.
+        several = rows.join(again, "doc_id", "left_semi").groupBy("doc_id", F.col("row")["text"].alias("text"))
+        out = out.unionByName(several.agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row"))
+    return out.select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -89,3 +89,12 @@ def test_empty_and_null_ids(spark):
 def test_bands():
     bands, rows = ngram_join.bands_and_rows()
     assert 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL
+
+
+def test_texts_are_dealt_out_once(spark):
+    """Rows were dealt out twice, each time with a second copy of the text, to find the least of rows that repeat an id, of which there were none."""
+    rows = [(i, f"{i} b c d e f g", "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    plan = lambda d: ngram_join.one_of_each(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan(df) and "min_by" in plan(df.unionByName(df.limit(1)))
+    assert sorted(map(tuple, ngram_join.one_of_each(spark, df.unionByName(df)).collect())) == rows == sorted(map(tuple, ngram_join.one_of_each(spark, df).collect()))
