@@ -2,6 +2,7 @@
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.operators import parsing as P
@@ -31,3 +32,16 @@ def test_gazetteer_merges_names_that_fold_alike(spark):
     by = {(x.kind, x.key): (x.ord, x.value, x.lat, x.lon) for x in P.gazetteer(places).collect()}
     assert by[("district", "quan 1")] == (0, "Quận 1", 1.5, 4.0) and by[("district", "quan 1 a")] == (1, "Quận 1, A", 1.5, 4.0)
     assert by[("district", "quan 1 b")] == (5, "Quận 1, B", None, None) and by[("name", "bar")] == (0, "bar", None, None) and by[("city", "a")][:2] == (0, "A")
+
+
+def test_set_differences_tells_places_apart_that_share_an_id(spark, sf, tmp_path):
+    from tessera.plans import registry
+
+    keys = spark.range(1_000_000, 1_000_400).unionByName(spark.range(100_000, 100_040)).select(F.col("id").alias("p_partkey"))
+    part = keys.select("p_partkey", F.lit("old ring").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("MEDIUM").alias("p_type"), F.lit(7).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()["set_differences"]).project("side, poi_id").fetchall())
+    assert sorted(map(tuple, registry.queries()["set_differences"](spark, str(tmp_path)).select("side", "poi_id").collect())) == want
