@@ -45,3 +45,28 @@ def test_set_differences_tells_places_apart_that_share_an_id(spark, sf, tmp_path
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     want = sorted(con.sql(registry.oracle_sql()["set_differences"]).project("side, poi_id").fetchall())
     assert sorted(map(tuple, registry.queries()["set_differences"](spark, str(tmp_path)).select("side", "poi_id").collect())) == want
+
+
+def test_pairs_are_made_once_and_no_side_of_them_is_broadcast(spark, sf):
+    from tessera.plans import base
+
+    plan = base.final(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "BroadcastExchange" in plan
+    sides = [x for x in plan.split("BroadcastExchange")[1:]]
+    assert all("MapInArrow" not in x.split("FileScan")[0] for x in sides) and "SortMergeJoin [pos#" in plan
+
+
+def test_places_and_queries_without_vectors_stay(spark, sf):
+    from tessera.operators.engine import Index
+    from tessera.sources import places as L
+
+    p = L.places(spark, sf).where("pos < 30")
+    vector = lambda x: F.array(F.lit(1.0), x.cast("double"))
+    index = Index(spark, p, p.where("pos < 20").select("pos", vector(F.col("pos")).alias("v")))
+    q = spark.createDataFrame([("a", ["quan"]), ("b", [])], "query_id string, toks array<string>")
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("z", [1.0, 1.0])], "query_id string, v array<double>")
+    n = p.count()
+    rows = index.hybrid(q, v).collect()
+    assert len(rows) == 2 * n and {x.query_id for x in rows} == {"a", "b"}
+    assert sorted(x.dense_rank for x in rows if x.dense_rank) == list(range(1, p.where("pos < 20").count() + 1)) and all(x.query_id == "a" for x in rows if x.dense_rank)
+    assert sorted(x.bm25_rank for x in rows if x.query_id == "b") == list(range(1, n + 1))
